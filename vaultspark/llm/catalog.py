@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultspark.llm import decontamination, language_id, packing
+from vaultspark.llm import decontamination, language_id, outlier_rules, packing, quality_classifier, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, keep=["doc_id"], with_ids=False).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents").select("doc_id", "text"), language_id.held_out(F.col("doc_id"))
+    ensemble = quality_classifier.learn(docs, table(spark, sf_dir, "labels").filter(~out))
+    found = quality_classifier.score(docs, ensemble, keep=["doc_id"])
+    return found.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -30,7 +37,25 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op2_packing": op2_packing, "op6_decontamination": op6_decontamination, "op7_language_id": op7_language_id}
+def op8_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return outlier_rules.judge(docs)
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = sharding.shard(docs, 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "part")
+
+
+QUERIES = {
+    "op2_packing": op2_packing,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op6_decontamination": op6_decontamination,
+    "op7_language_id": op7_language_id,
+    "op8_outlier_rules": op8_outlier_rules,
+    "op9_sharding": op9_sharding,
+}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
