@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultspark.llm import decontamination, language_id, near_dedup, outlier_rules, packing, quality_classifier, sharding
+from vaultspark.llm import decontamination, language_id, line_dedup, near_dedup, outlier_rules, packing, quality_classifier, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.summary(docs).select("doc_id", "n_lines", "n_removed", "n_near", F.array_join("removed", ",").alias("removed"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.classes(docs).select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("stays"))
@@ -56,6 +61,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_line_dedup": op4_line_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,

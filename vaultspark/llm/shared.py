@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -21,6 +22,10 @@ def folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """The same rows, written once as Parquet and read back: what follows does not depend on executors that made them."""
-    path = folder(df.sparkSession)
+    spark, schema = df.sparkSession, df.schema
+    path = folder(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # what no plan refers to any more: Spark removes its shuffle files and broadcasts
+    return spark.read.schema(schema).parquet(path)

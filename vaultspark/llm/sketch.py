@@ -14,6 +14,38 @@ from vaultspark.llm.textvec import Texts, quoted, slices
 _BLOCK = 1 << 15
 
 
+def marked(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit for each value modulo bits (a power of two) of a column of longs, 8 to a byte, in a table of fixed size.
+
+    A value of the column has its bit set; so may others, the more the fuller
+    the table is: it narrows a search and never decides one.
+    """
+    def mark(batches):
+        table = np.zeros(bits, bool)
+        for batch in batches:
+            table[np.asarray(batch.column(0)).view(np.uint64) & np.uint64(bits - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.packbits(table).tobytes()], pa.binary())], names=["block", "bits"])
+
+    def either(batches):
+        table = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            for x in batch.column(1):
+                table |= np.frombuffer(x.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([table.tobytes()], pa.binary())], names=["block", "bits"])
+
+    found = rows.filter(F.col(column).isNotNull()).select(column).mapInArrow(mark, "block int, bits binary").coalesce(8).mapInArrow(either, "block int, bits binary").collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in found:
+        out |= np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def is_marked(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether the values' bits are set."""
+    at = values & np.uint64(8 * len(table) - 1)
+    return (table[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def counted(docs: DataFrame, items: Callable[[Texts], np.ndarray], cells: int, text: str = "text") -> np.ndarray:
     """How many items of all texts fall into each cell (hash modulo cells, a power of two).
 
@@ -23,11 +55,16 @@ def counted(docs: DataFrame, items: Callable[[Texts], np.ndarray], cells: int, t
     of each of its items.
     """
     def count(batches):
-        table = np.zeros(cells, np.int64)
+        table, waiting, n = np.zeros(cells, np.int64), [], 0
         for batch in batches:
             for a, b in slices(batch.column(0)):
-                found = items(Texts(batch.column(0).slice(a, b - a))) & np.uint64(cells - 1)
-                table += np.bincount(found.astype(np.int64), minlength=cells)
+                waiting.append((items(Texts(batch.column(0).slice(a, b - a))) & np.uint64(cells - 1)).astype(np.uint32))
+                n += len(waiting[-1])
+                if n > cells:
+                    table += np.bincount(np.concatenate(waiting), minlength=cells)
+                    waiting, n = [], 0
+        if n:
+            table += np.bincount(np.concatenate(waiting), minlength=cells)
         table = np.minimum(table, 0xFFFFFFFF).astype("<u4").reshape(-1, min(_BLOCK, cells))
         yield pa.RecordBatch.from_arrays([pa.array(range(len(table)), pa.int32()), pa.array([x.tobytes() for x in table], pa.binary())], names=["block", "counts"])
 
