@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultspark.llm import decontamination, language_id, line_dedup, near_dedup, outlier_rules, packing, quality_classifier, sharding, substring_dedup
+from vaultspark.llm import decontamination, language_id, line_dedup, near_dedup, outlier_rules, packing, quality_classifier, recurrent_lm, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "part")
 
 
+def op10_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents").select("doc_id", "text"), language_id.held_out(F.col("doc_id"), 5)
+    found = recurrent_lm.score(docs, out)
+    return found.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
@@ -73,6 +79,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_outlier_rules": op8_outlier_rules,
     "op9_sharding": op9_sharding,
+    "op10_recurrent_lm": op10_recurrent_lm,
 }
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
