@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,3 +33,9 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(folder / "vaultspark_package.zip"))
         context._vaultspark_shipped = True
     return spark
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new name for a folder below spark.checkpoint.dir, which driver and executors share; where that is unset, as in tests, below a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vaultspark-")
+    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
