@@ -40,7 +40,8 @@ def notices(queue_events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 def counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events of each type in tumbling windows; late ones count until the watermark passes."""
-XX(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs a time zone
+    return timed.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
 def queue_monitor(appointments: DataFrame, staff: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
