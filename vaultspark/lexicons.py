@@ -104,6 +104,36 @@ PAN_COST = 100_000
 TOKEN_ALPHABET = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"
 UNAVAILABLE = "Could not complete an automatic check right now — a hospital staff member will review this shortly."
 
+#: Explanations of checklist results.
+MESSAGES = {
+    "identity_absent": "No identity document uploaded yet",
+    "national_ok": "Identity document recognized (Aadhaar checksum valid)",
+    "national_bad": "Aadhaar number format matched but failed the standard Verhoeff checksum validation — could be an OCR digit error or a fabricated number.",
+    "tax_ok": "Identity document recognized (PAN format valid)",
+    "tax_bad": "PAN format matched but the entity-type character (4th letter) is not a valid PAN holder type — could be an OCR error or a fabricated number.",
+    "identity_ok": "Identity document recognized",
+    "identity_unknown": "No recognized ID number format (Aadhaar/PAN/Voter ID/passport) found in the document.",
+    "classified": "Classified as ",
+    "registered": " — doctor registration number present",
+    "unregistered": ", but no doctor registration number was found anywhere in the document — Indian medical regulations require this on every prescription.",
+    "fields_missing": "Missing fields: ",
+    "form_ok": "All pre-authorization fields completed",
+    "card_ok": "PAN number pattern found",
+    "card_absent": "No PAN card detected — required since estimated cost is ₹1 lakh or more",
+    "employee_absent": "No employee ID uploaded yet",
+    "employee_ok": "Employee ID document uploaded",
+    "name_no_document": "No identity document to check the name against",
+    "name_unknown": "Patient name not on record",
+    "name_ok": "Name on the document matches the patient's registered name",
+    "policy_no_document": "No insurance document to cross-check yet",
+    "policy_unknown": "Enter your policy number in the pre-authorization form so it can be cross-checked against the document",
+    "policy_ok": "Policy number on the document matches the form",
+    "diagnosis_absent": "Need both a medical document and a stated admission reason to compare",
+    "diagnosis_ok": "Stated reason matches the document's diagnosis text",
+    "resolved": "Verified by hospital admin",
+    "rejected": "There seems to be a problem with this document — please re-upload it.",
+}
+
 # -- fixed values: images ------------------------------------------------------------
 MODALITIES = [
     (r"\b(?:chest|cxr|xray|x[\-_\s]ray)\b", "chest_xray"), (r"\b(?:ct|computed[\-_]tomography|ctscan)\b", "ct_scan"), (r"\b(?:mri|magnetic[\-_]resonance|flair|dwi)\b", "mri"),

@@ -158,15 +158,15 @@ def tier1(items: DataFrame, documents: DataFrame) -> DataFrame:
     doc, text, none = F.col("__id"), F.col("__text"), F.col("__id").isNull()
     national, tax = first_match(text, rx(L.NATIONAL_ID)), first_match(text, rx(L.TAX_ID))
     identity = (
-        F.when(none, _result(1, "missing", None, "No identity document uploaded yet"))
-        .when(national.isNotNull() & national_id_valid(national), _result(1, "verified", doc, "Identity document recognized (Aadhaar checksum valid)"))
-        .when(national.isNotNull(), _result(1, "missing", doc, "Aadhaar number format matched but failed the standard Verhoeff checksum validation — could be an OCR digit error or a fabricated number."))
-        .when(tax.isNotNull() & tax_holder_valid(tax), _result(1, "verified", doc, "Identity document recognized (PAN format valid)"))
-        .when(tax.isNotNull(), _result(1, "missing", doc, "PAN format matched but the entity-type character (4th letter) is not a valid PAN holder type — could be an OCR error or a fabricated number."))
-        .when(text.rlike(rx(L.VOTER_ID)) | text.rlike(rx(L.PASSPORT)), _result(1, "verified", doc, "Identity document recognized"))
-        .otherwise(_result(1, "missing", doc, "No recognized ID number format (Aadhaar/PAN/Voter ID/passport) found in the document."))
+        F.when(none, _result(1, "missing", None, L.MESSAGES["identity_absent"]))
+        .when(national.isNotNull() & national_id_valid(national), _result(1, "verified", doc, L.MESSAGES["national_ok"]))
+        .when(national.isNotNull(), _result(1, "missing", doc, L.MESSAGES["national_bad"]))
+        .when(tax.isNotNull() & tax_holder_valid(tax), _result(1, "verified", doc, L.MESSAGES["tax_ok"]))
+        .when(tax.isNotNull(), _result(1, "missing", doc, L.MESSAGES["tax_bad"]))
+        .when(text.rlike(rx(L.VOTER_ID)) | text.rlike(rx(L.PASSPORT)), _result(1, "verified", doc, L.MESSAGES["identity_ok"]))
+        .otherwise(_result(1, "missing", doc, L.MESSAGES["identity_unknown"]))
     )
-    classed = F.concat(F.lit("Classified as "), F.col("__type"))
+    classed = F.concat(F.lit(L.MESSAGES["classified"]), F.col("__type"))
 
     def by_class(label: str, kinds: list[str], verified: Column) -> Column:
         return (
@@ -174,13 +174,13 @@ def tier1(items: DataFrame, documents: DataFrame) -> DataFrame:
             .otherwise(_result(1, "missing", doc, f"{label}: uploaded document didn't classify as expected — needs a closer look"))
         )
 
-    registered = F.when(has_registration(text), _result(1, "verified", doc, F.concat(classed, F.lit(" — doctor registration number present")))).otherwise(
-        _result(1, "missing", doc, F.concat(classed, F.lit(", but no doctor registration number was found anywhere in the document — Indian medical regulations require this on every prescription.")))
+    registered = F.when(has_registration(text), _result(1, "verified", doc, F.concat(classed, F.lit(L.MESSAGES["registered"])))).otherwise(
+        _result(1, "missing", doc, F.concat(classed, F.lit(L.MESSAGES["unregistered"])))
     )
     lacking = F.filter(F.array(*(F.when(filled(F.col(f"preauth.{f}")).isNull(), F.lit(f)) for f in L.PREAUTH_FIELDS)), lambda x: x.isNotNull())
-    form = F.when(F.size(lacking) > 0, _result(1, "missing", None, F.concat(F.lit("Missing fields: "), F.array_join(lacking, ", ")))).otherwise(_result(1, "verified", None, "All pre-authorization fields completed"))
-    card = F.when(~none & tax.isNotNull(), _result(1, "verified", doc, "PAN number pattern found")).otherwise(_result(1, "missing", None, "No PAN card detected — required since estimated cost is ₹1 lakh or more"))
-    employee = F.when(none, _result(1, "missing", None, "No employee ID uploaded yet")).otherwise(_result(1, "verified", doc, "Employee ID document uploaded"))
+    form = F.when(F.size(lacking) > 0, _result(1, "missing", None, F.concat(F.lit(L.MESSAGES["fields_missing"]), F.array_join(lacking, ", ")))).otherwise(_result(1, "verified", None, L.MESSAGES["form_ok"]))
+    card = F.when(~none & tax.isNotNull(), _result(1, "verified", doc, L.MESSAGES["card_ok"])).otherwise(_result(1, "missing", None, L.MESSAGES["card_absent"]))
+    employee = F.when(none, _result(1, "missing", None, L.MESSAGES["employee_absent"])).otherwise(_result(1, "verified", doc, L.MESSAGES["employee_ok"]))
     key = F.col("item_key")
     decided = (
         F.when(key == "identity", identity).when(key == "medical_doc", by_class("Medical document", L.MEDICAL_DOC_TYPES, registered))
@@ -209,18 +209,18 @@ def derived(admissions: DataFrame, checked: DataFrame, documents: DataFrame) ->
     name, reason, number = filled(F.col("patient_name")), filled(F.col("admission_reason")), filled(F.col("preauth.policy_number"))
     ask = lambda: _result(2, "missing", doc, F.lit(None).cast("string"))
     named = (
-        F.when(none, _result(2, "missing", None, "No identity document to check the name against")).when(name.isNull(), _result(2, "missing", doc, "Patient name not on record"))
-        .when(holds_all(word_set(name), word_set(text)), _result(1, "verified", doc, "Name on the document matches the patient's registered name")).otherwise(ask())
+        F.when(none, _result(2, "missing", None, L.MESSAGES["name_no_document"])).when(name.isNull(), _result(2, "missing", doc, L.MESSAGES["name_unknown"]))
+        .when(holds_all(word_set(name), word_set(text)), _result(1, "verified", doc, L.MESSAGES["name_ok"])).otherwise(ask())
     )
     policy = (
-        F.when(none | (F.col("__type") != "insurance"), _result(1, "missing", None, "No insurance document to cross-check yet"))
-        .when(number.isNull(), _result(1, "missing", doc, "Enter your policy number in the pre-authorization form so it can be cross-checked against the document"))
-        .when(F.contains(F.lower(text), F.lower(number)) & (insurance_score(text) >= 1), _result(1, "verified", doc, "Policy number on the document matches the form")).otherwise(ask())
+        F.when(none | (F.col("__type") != "insurance"), _result(1, "missing", None, L.MESSAGES["policy_no_document"]))
+        .when(number.isNull(), _result(1, "missing", doc, L.MESSAGES["policy_unknown"]))
+        .when(F.contains(F.lower(text), F.lower(number)) & (insurance_score(text) >= 1), _result(1, "verified", doc, L.MESSAGES["policy_ok"])).otherwise(ask())
     )
     told = F.filter(word_set(reason), lambda w: F.length(w) > 3)
     diagnosed = (
-        F.when(none | reason.isNull(), _result(2, "missing", None, "Need both a medical document and a stated admission reason to compare"))
-        .when(holds_all(told, word_set(F.coalesce(filled(F.col("__diagnosis")), F.substring(text, 1, 500)))), _result(1, "verified", doc, "Stated reason matches the document's diagnosis text")).otherwise(ask())
+        F.when(none | reason.isNull(), _result(2, "missing", None, L.MESSAGES["diagnosis_absent"]))
+        .when(holds_all(told, word_set(F.coalesce(filled(F.col("__diagnosis")), F.substring(text, 1, 500)))), _result(1, "verified", doc, L.MESSAGES["diagnosis_ok"])).otherwise(ask())
     )
     decided = F.when(F.col("parent") == "identity", named).when(F.col("parent") == "insurance_policy", policy).otherwise(diagnosed)
     return met.withColumn("__r", decided).select("admission_id", lookup(F.col("parent"), parents, "").alias("item_key"), "__r.*").withColumn("escalate", F.col("explanation").isNull())
@@ -252,7 +252,7 @@ def resolve(checklist: DataFrame, resolutions: DataFrame) -> DataFrame:
     """The checklist with each item's latest manual resolution (item_id, status, note, at) over it."""
     w = Window.partitionBy("item_id").orderBy(F.desc("at"), F.desc("status"))
     last = resolutions.filter(F.col("status").isin("verified", "missing")).withColumn("__n", F.row_number().over(w)).filter("__n = 1").select("item_id", F.col("status").alias("__s"), F.col("note").alias("__e"))
-    default = F.when(F.col("__s") == "verified", "Verified by hospital admin").otherwise("There seems to be a problem with this document — please re-upload it.")
+    default = F.when(F.col("__s") == "verified", L.MESSAGES["resolved"]).otherwise(L.MESSAGES["rejected"])
     met = checklist.join(last, "item_id", "left")
     set_ = F.col("__s").isNotNull()
     return met.withColumns({"status": F.coalesce("__s", "status"), "explanation": F.when(set_, F.coalesce(filled(F.col("__e")), default)).otherwise(F.col("explanation"))}).drop("__s", "__e")
