@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vaultspark.llm.textvec import ALNUM, LOWER, Texts, lists, map_texts, owner, quoted
+from vaultspark.llm.textvec import ALNUM, LOWER, Texts, lists, map_texts, owner, quoted, tidy
 
 #: Words of a window, and bytes of item texts that are broadcast at a time.
 WINDOW = 10
@@ -87,7 +87,7 @@ def _rarity(docs: DataFrame, keys: np.ndarray, text: str) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["k", "n"])
 
-    found = docs.select(quoted(text).cast("string").alias("t")).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    found = docs.select(quoted(text).cast("string").alias("t")).mapInArrow(tidy(count), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(len(keys), np.int64)
     for r in found:
         out[r["k"]] = r["n"]
@@ -151,7 +151,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_hit", "n_items", "item_ids", "hit_spans", "contaminated")]
     fields = T.StructType.fromDDL("n_words long, n_hit long, n_items long, item_ids array<string>, hit_spans array<long>, contaminated boolean").fields
     out = docs
-    for k, rows in enumerate(_blocks(benchmark, item, item_text, block_bytes)):
+    blocks = _blocks(benchmark, item, item_text, block_bytes)
+    for k, rows in enumerate(blocks):
         shared = docs.sparkSession.sparkContext.broadcast(build_index(docs, rows, window, text))
 
         def kernel(texts: Texts, shared=shared) -> list:
@@ -173,7 +174,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
             return [np.diff(first), n_hit, [len(x) for x in own], own, spans, n_hit > 0]
 
         if k == 0:
-            out = map_texts(out, kernel, fields, text, kept if text in kept else [*kept, text])
+            out = map_texts(out, kernel, fields, text, kept if text in kept or len(blocks) == 1 else [*kept, text])
             continue
         more = [T.StructField(f"__{f.name}", f.dataType) for f in fields]
         out = map_texts(out, kernel, more, text)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Records that a task holds before it passes them on.
-HELD = 1 << 20
+HELD = 1 << 19
 SCHEMA = "bucket int, n int, block binary"
 Columns = list[np.ndarray]
 

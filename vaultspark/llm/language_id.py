@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vaultspark.llm.textvec import Texts, map_texts, quoted, slices
+from vaultspark.llm.textvec import Texts, map_texts, quoted, slices, tidy
 
 #: N-grams of a profile, longest n-gram, and texts a language that a profile is learned from (about).
 PROFILE = 300
@@ -121,7 +121,7 @@ def learn(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample
         for l, (codes, n) in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([l] * len(codes), pa.string()), pa.array(codes), pa.array(n)], names=["l", "g", "n"])
 
-    summed = chosen.mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
+    summed = chosen.mapInArrow(tidy(count), "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
     tops = summed.groupBy("l").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "g"))), 1, size).alias("top")).orderBy("l").collect()
     profiles = {r["l"]: np.array([x["g"] for x in r["top"]], np.int64) for r in tops}
     known = np.unique(np.concatenate([*profiles.values(), np.zeros(0, np.int64)]))

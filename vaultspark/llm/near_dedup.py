@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from vaultspark.llm import graph, sketch, stars
 from vaultspark.llm.shared import written
-from vaultspark.llm.textvec import SPACED, Texts, lists, map_texts, mix, owner, quoted, shingles, slices
+from vaultspark.llm.textvec import SPACED, Texts, lists, map_texts, mix, owner, quoted, shingles, slices, tidy
 
 #: Words of a shingle, similarity of near duplicates, bands, samples of a band, and cells of the frequency table.
 SHINGLE = 5
@@ -131,7 +131,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, similar: float, size: int
                         to.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.bool_())], names=["lead", "member", "near"])
 
-    return stars.together(pairs, texts).select("lead", "member", "text").mapInArrow(judge, "lead binary, member binary, near boolean")
+    return stars.together(pairs, texts).select("lead", "member", "text").mapInArrow(tidy(judge), "lead binary, member binary, near boolean")
 
 
 def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:

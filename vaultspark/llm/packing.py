@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from vaultspark.llm.textvec import quoted, slices
+from vaultspark.llm.textvec import quoted, slices, tidy
 
 #: Longest sequence, and the id that ends a document.
 CAPACITY = 1024
@@ -96,7 +96,7 @@ def pack(docs: DataFrame, *, tokenizer: tuple[str, str] | None = None, capacity:
                 made += len(n)
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return docs.select(*(quoted(c) for c in kept), quoted(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(quoted(c) for c in kept), quoted(text).cast("string").alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def padding(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

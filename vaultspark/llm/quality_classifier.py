@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vaultspark.llm.textvec import SPACED, Texts, byte_class, hash_spans, map_texts, owner, quoted, shingles
+from vaultspark.llm.textvec import SPACED, Texts, byte_class, hash_spans, map_texts, mapped, owner, quoted, shingles
 
 #: Labelled texts to learn from (about), trees, their depth, cut points of a statistic, and rules kept at most.
 SAMPLE = 12_000
@@ -60,7 +60,7 @@ def measure(texts: Texts) -> list[np.ndarray]:
     spread = np.sqrt(np.maximum(_share(np.bincount(doc, size * size, n), words) - mean**2, 0))
     rates = []
     for inside in _CLASSES.values():
-        run = np.concatenate([[0], np.cumsum(inside[texts.buf], dtype=np.int64)])
+        run = np.concatenate([[0], np.cumsum(mapped(texts.buf, inside), dtype=np.int64)])
         rates.append(_share(run[texts.offsets[1:]] - run[texts.offsets[:-1]], chars))
     twin = np.zeros(len(hashes), bool)
     twin[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultspark.llm.textvec import Texts, quoted, slices
+from vaultspark.llm.textvec import Texts, quoted, slices, tidy
 
 _BLOCK = 1 << 15
 
@@ -33,7 +33,7 @@ def marked(rows: DataFrame, column: str, bits: int) -> np.ndarray:
                 table |= np.frombuffer(x.as_buffer(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([table.tobytes()], pa.binary())], names=["block", "bits"])
 
-    found = rows.filter(F.col(column).isNotNull()).select(column).mapInArrow(mark, "block int, bits binary").coalesce(8).mapInArrow(either, "block int, bits binary").collect()
+    found = rows.filter(F.col(column).isNotNull()).select(column).mapInArrow(tidy(mark), "block int, bits binary").coalesce(8).mapInArrow(tidy(either), "block int, bits binary").collect()
     out = np.zeros(bits // 8, np.uint8)
     for r in found:
         out |= np.frombuffer(r["bits"], np.uint8)
@@ -60,7 +60,7 @@ def counted(docs: DataFrame, items: Callable[[Texts], np.ndarray], cells: int, t
             for a, b in slices(batch.column(0)):
                 waiting.append((items(Texts(batch.column(0).slice(a, b - a))) & np.uint64(cells - 1)).astype(np.uint32))
                 n += len(waiting[-1])
-                if n > cells:
+                if n > cells // 4:
                     table += np.bincount(np.concatenate(waiting), minlength=cells)
                     waiting, n = [], 0
         if n:
@@ -77,7 +77,7 @@ def counted(docs: DataFrame, items: Callable[[Texts], np.ndarray], cells: int, t
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
 
     schema = "block int, counts binary"
-    rows = docs.select(quoted(text).cast("string").alias("t")).mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect()
+    rows = docs.select(quoted(text).cast("string").alias("t")).mapInArrow(tidy(count), schema).repartition("block").mapInArrow(tidy(add), schema).collect()
     out = np.zeros((max(1, cells // _BLOCK), min(_BLOCK, cells)), np.uint32)
     for r in rows:
         out[r["block"]] = np.frombuffer(r["counts"], "<u4")

@@ -8,6 +8,8 @@ is defined on ASCII delimiters; bytes from 0x80 up always belong to words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -21,9 +23,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Texts handed to an operator's kernel at once, in bytes; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
-_CHUNK = 1 << 18
 _LONG_WORD = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def byte_class(*spans: tuple[int, int]) -> np.ndarray:
@@ -44,21 +46,9 @@ LOWER = SAME.copy()
 LOWER[0x41:0x5B] += 32
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
-
-
-_TABLES: list[np.ndarray] = []
-
-
-def _tables() -> list[np.ndarray]:
-    if not _TABLES:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        _TABLES.extend(_powers(b, _CHUNK + _LONG_WORD + 1) for b in (_BASE, inverse))
-    return _TABLES
+def mapped(buf: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """table[buf] for bytes, without the wide index that numpy would make."""
+    return np.frombuffer(buf.tobytes().translate(table.tobytes()), table.dtype)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,27 +64,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = SAME) -> np.ndarray:
-    """64-bit hashes of buf[starts:ends], ascending spans, by differences of a running polynomial."""
-    out = np.empty(len(starts), np.uint64)
-    power, inverse = _tables()
-    at = 0
+    """64-bit hashes of buf[starts:ends], eight bytes of every span at a time."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf if table is SAME else mapped(buf, table)
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+    left = ends - starts
+    long = np.flatnonzero(left > _LONG_WORD)
+    whole = [int.from_bytes(hashlib.blake2b(padded[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little") for k in long]
+    left[long] = 0
     with np.errstate(over="ignore"):
-        while at < len(starts):
-            a = int(starts[at])
-            upto = int(np.searchsorted(starts, a + _CHUNK, "left"))
-            s, e = starts[at:upto] - a, ends[at:upto] - a
-            long = e - s > _LONG_WORD
-            e = np.where(long, s, e)
-            n = int(e.max())
-            run = np.zeros(n + 1, np.uint64)
-            np.cumsum((table[buf[a : a + n]].astype(np.uint64) + np.uint64(1)) * power[:n], out=run[1:])
-            h = (run[e] - run[s]) * inverse[s]
-            for k in np.flatnonzero(long):
-                whole = table[buf[starts[at + k] : ends[at + k]]].tobytes()
-                h[k] = int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "little")
-            out[at:upto] = h
-            at = upto
-        out += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        out = (left.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        some, at, h = slice(None), starts, out
+        while len(at):
+            h = (h ^ (eight[at] & _MASK[np.minimum(left, 8)])) * _BASE
+            h ^= h >> np.uint64(29)
+            out[some] = h
+            more = np.flatnonzero(left > 8)
+            some = more if isinstance(some, slice) else some[more]
+            at, left, h = at[more] + 8, left[more] - 8, h[more]
+    out[long] = np.array(whole, np.uint64)
     return mix(out)
 
 
@@ -115,17 +103,15 @@ class Texts:
         if not len(self.buf):
             none = np.zeros(0, np.int64)
             return none, none, np.zeros(self.n + 1, np.int64)
-        word = inside[self.buf]
-        before = np.empty_like(word)
-        before[0], before[1:] = False, word[:-1]
-        cuts = self.offsets[:-1]
-        before[cuts[cuts < len(word)]] = False
-        starts = np.flatnonzero(word & ~before)
-        after = np.empty_like(word)
-        after[-1], after[:-1] = False, word[1:]
-        cuts = self.offsets[1:] - 1
-        after[cuts[cuts >= 0]] = False
-        ends = np.flatnonzero(word & ~after) + 1
+        word = mapped(self.buf, inside)
+        turns = np.flatnonzero(word[1:] != word[:-1]) + 1
+        turns = np.concatenate([[0] if word[0] else [], turns, [len(word)] if word[-1] else []]).astype(np.int64)
+        starts, ends = turns[0::2], turns[1::2]
+        cuts = np.unique(self.offsets[1:-1])
+        cuts = cuts[(cuts > 0) & (cuts < len(word))]
+        cuts = cuts[word[cuts - 1] & word[cuts]]  # a run ends with its text
+        if len(cuts):
+            starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
         return starts, ends, np.searchsorted(starts, self.offsets, "left")
 
     def words(self, inside: np.ndarray, table: np.ndarray = SAME) -> tuple[np.ndarray, np.ndarray]:
@@ -169,6 +155,24 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         at = upto
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and release() after each of its tasks."""
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -193,7 +197,7 @@ def map_texts(df: DataFrame, kernel: Callable[[Texts], list], fields: list[T.Str
                 rest = [batch.column(k).slice(a, b - a) for k in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*rest, *arrays], names=[*kept, *(f.name for f in arrow)])
 
-    return df.select(*(quoted(c) for c in kept), quoted(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return df.select(*(quoted(c) for c in kept), quoted(text).cast("string").alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
