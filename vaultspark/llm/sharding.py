@@ -21,7 +21,7 @@ from vaultspark.llm.textvec import quoted
 
 SLOTS = 6144
 #: A slot of more than this part of a shard's fair share is split.
-HOT = 1 / 32
+HOT = 1 / 4
 Entry = tuple[int, int]  # slot, part of a split slot
 
 
