@@ -155,3 +155,22 @@ def test_passages_of_odd_rows(spark):
     pairs = {(r["doc_id"], r["other_id"]) for r in rows}
     assert (1, 0) in pairs and ((2, 0) in pairs or (2, 10) in pairs or (10, 2) in pairs)
     assert substring_dedup.repeats(none(spark)).count() == 0
+
+
+def test_lines_of_documents_with_one_id(spark):
+    """Order within an id is by a hash of the text, within a text by line; nulls come last."""
+    words = [f"w{k}" for k in range(30)]
+    texts = ["\n".join(" ".join(f"x{k}{j}" if j == k % 9 else w for j, w in enumerate(words[k % 4 : k % 4 + 20])) for k in range(a, a + 6)) for a in range(0, 60, 6)]
+    df = spark.createDataFrame([(None if k % 2 else 5, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    order = sorted([(r["doc_id"] is None, r["h"], r["text"]) for r in df.selectExpr("doc_id", "text", "xxhash64(doc_id, text) as h").collect()])
+    want = plain_lines([(None, t) for _, _, t in order])
+    got = {r["text"]: r["removed"] for r in _with_text(df, line_dedup)}
+    assert got == {t: want.get(k, []) for k, (_, _, t) in enumerate(order)}
+
+
+def _with_text(df, module):
+    _, gone = module.removals(df)
+    lost = defaultdict(list)
+    for r in gone.collect():
+        lost[r["key"]].append(r["line"])
+    return [{"text": r["text"], "removed": sorted(lost[r["h"]])} for r in df.selectExpr("text", "xxhash64(doc_id, text) as h").collect()]
