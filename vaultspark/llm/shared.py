@@ -29,3 +29,12 @@ def written(df: DataFrame) -> DataFrame:
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # what no plan refers to any more: Spark removes its shuffle files and broadcasts
     return spark.read.schema(schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table from written() that nothing will read again."""
+    spark = df.sparkSession
+    for f in df.inputFiles():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.rsplit("/", 1)[0])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        break

@@ -16,9 +16,8 @@ def together(pairs: DataFrame, texts: DataFrame, extra: list[str] | None = None)
     """
     extra = extra or []
     parts = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
-    members = pairs.join(texts.withColumnsRenamed({"key": "member", "text": "__t"}), "member").join(parts, "lead")
-    members = members.select("lead", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), "member", F.col("__t").alias("text"), *extra)
-    leads = parts.join(texts.withColumnsRenamed({"key": "lead", "text": "__t"}), "lead")
     kinds = dict(pairs.dtypes)
-    leads = leads.select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast(kinds["member"]).alias("member"), F.col("__t").alias("text"), *(F.lit(None).cast(kinds[c]).alias(c) for c in extra))
-    return members.unionByName(leads).repartition("lead", "part").sortWithinPartitions("lead", "part", F.col("member").asc_nulls_first())
+    members = pairs.join(parts, "lead").select("lead", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), "member", *extra)
+    leads = parts.select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast(kinds["member"]).alias("member"), *(F.lit(None).cast(kinds[c]).alias(c) for c in extra))
+    wanted = members.unionByName(leads).withColumn("key", F.coalesce("member", "lead"))  # one join moves a text once
+    return wanted.join(texts, "key").select("lead", "part", "member", "text", *extra).repartition("lead", "part").sortWithinPartitions("lead", "part", F.col("member").asc_nulls_first())
