@@ -84,6 +84,22 @@ def test_near_duplicates_against_brute_force(spark, sf):
     assert got == want
 
 
+def test_near_copies_of_one_text_that_are_not_near_each_other(spark):
+    """Each copy is linked with the source only, so a leader other than the source is near none of the others."""
+    base = [f"s{k}" for k in range(142)]
+    places = [(a, b) for a in range(5, 137) for b in range(a + 11, 137, 13)]
+    docs = [(0, " ".join(base))] + [(k + 1, " ".join(f"c{k}x{j}" if j in at else w for j, w in enumerate(base))) for k, at in enumerate(places[::4][:130])]
+    other = [f"o{k}" for k in range(200)]
+    docs += [(1000, " ".join(other)), (1001, " ".join(other[:150] + [f"q{k}" for k in range(50)]))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(docs) > 120 and got == {i: i if i >= 1000 else 0 for i, _ in docs}
+
+
+def test_members_that_links_do_not_join_meet_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PART", 7)
+    test_near_copies_of_one_text_that_are_not_near_each_other(spark)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = near_dedup.classes(edge(spark)).collect()
     by = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in rows}

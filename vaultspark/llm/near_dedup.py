@@ -5,7 +5,8 @@ count in the text times an inverse document frequency. Consistent weighted
 sampling (r, c from Gamma(2, 1), b uniform, all hashed from the shingle) picks
 a shingle and a level so that two texts agree with a probability equal to
 their weighted Jaccard similarity. Samples are banded; texts that share a band
-are compared with the band's leader, by their exact weighted similarity.
+are compared with the band's leader, by their exact weighted similarity, and
+then, unless links join them already, with each other.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ from vaultspark.llm import graph, sketch, stars
 from vaultspark.llm.shared import written
 from vaultspark.llm.textvec import SPACED, Texts, lists, map_texts, mix, owner, quoted, shingles, slices, tidy
 
-#: Words of a shingle, similarity of near duplicates, bands, samples of a band, and cells of the frequency table.
+#: Words of a shingle, similarity of near duplicates, bands, samples of a band, cells of the frequency table, and the most texts and distinct shingles in a part of a bucket.
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS = 12
 ROWS = 3
 CELLS = 1 << 21
+PART = 256
+PART_SHINGLES = 500_000
 
 _GAMMA: list[np.ndarray] = []
 
@@ -134,12 +137,96 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, similar: float, size: int
     return stars.together(pairs, texts).select("lead", "member", "text").mapInArrow(tidy(judge), "lead binary, member binary, near boolean")
 
 
+def _across(left: list, right: list, similar: float):
+    """Links (member, member) of near texts of left and right, rows (member, root, weighted set): those that join two roots. With right the same as left, of its pairs."""
+    if not left or not right:
+        return
+    same = right is left
+    items, weight = (np.concatenate([r[2][k] for r in right]) for k in (0, 1))
+    own = np.repeat(np.arange(len(right)), [len(r[2][0]) for r in right])
+    order = np.argsort(items, kind="stable")
+    items, weight, own = items[order], weight[order], own[order]
+    totals = np.array([r[2][1].sum(dtype=np.float64) for r in right])
+    number: dict[bytes, int] = {}
+    theirs = np.array([number.setdefault(r[1], len(number)) for r in right])
+    mine = theirs if same else np.array([number.setdefault(r[1], len(number)) for r in left])
+    bound = similar - 1e-9  # sums in another order; similarity() decides
+    for i, (member, _, (s, w)) in enumerate(left):
+        total = w.sum(dtype=np.float64)
+        apart = (theirs != mine[i]) & (np.minimum(totals, total) >= bound * np.maximum(totals, total))
+        if same:
+            apart[: i + 1] = False
+        if not apart.any():
+            continue
+        low = np.searchsorted(items, s, "left")
+        n = np.searchsorted(items, s, "right") - low
+        at = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+        both = np.bincount(own[at], np.minimum(np.repeat(w, n), weight[at]).astype(np.float64), minlength=len(right))
+        for j in np.flatnonzero(apart & (both >= bound * (total + totals - both))).tolist():
+            if theirs[j] != mine[i] and similarity((s, w), right[j][2]) >= similar:
+                yield member, right[j][0]
+                old, new = theirs[j], mine[i]
+                theirs[theirs == old] = new
+                mine[mine == old] = new
+
+
+def _rest(first: DataFrame, near: DataFrame, banded: DataFrame, texts: DataFrame, idf, similar: float, size: int) -> DataFrame:
+    """lead and member of the near pairs of a bucket that no leader has decided, as far as they join classes.
+
+    All members have met their leader. A bucket whose other members are of one
+    class has nothing more to say. In any other one each two members of
+    different classes are compared: members outside its largest class with
+    each other and with that class, in parts that fit a task, a task for each
+    two parts. No row is made for a pair.
+    """
+    roots = graph.components(near, "lead", "member").withColumnsRenamed({"node": "member"})
+    sized = banded.select(F.col("key").alias("member"), "shingles")
+    rows = first.select("band", "member").join(roots, "member", "left").withColumn("root", F.coalesce("root", "member"))
+    counts = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("member")).alias("x"), F.bit_xor(F.xxhash64("member", F.lit(1))).alias("y"))
+    mixed = counts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter("kinds > 1")
+    mixed = mixed.groupBy("x", "y", "n").agg(F.min_by(F.struct("band", "most"), "band").alias("b")).select("b.band", "b.most")  # buckets of the same members once
+    rows = written(rows.join(mixed, "band").join(sized, "member").withColumn("inner", F.col("root") == F.col("most")).drop("most"))
+
+    def parts(which):
+        return F.greatest(F.ceil(F.count_if(which) / PART), F.ceil(F.sum(F.when(which, F.col("shingles")).otherwise(0)) / PART_SHINGLES)).cast("int")
+
+    plan = rows.groupBy("band").agg(parts(F.lit(True)).alias("all"), parts(~F.col("inner")).alias("p"), parts(F.col("inner")).alias("q"))
+    small, inner, deal = F.col("all") == 1, F.col("inner"), F.xxhash64("member", F.lit(2))
+    own = F.when(small, 0).when(inner, F.col("p") + F.pmod(deal, F.col("q"))).otherwise(F.pmod(deal, F.col("p"))).cast("int")
+    last = F.when(small, 0).when(inner, F.col("p") - 1).otherwise(F.col("p") + F.col("q") - 1).cast("int")
+    met = rows.join(plan, "band").withColumn("own", own).select("band", "member", "root", "own", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    met = met.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("other") < F.col("own")).alias("right"), "member", "root")
+
+    def judge(batches):
+        at, sides = None, ([], [])
+
+        def links():
+            same = at is not None and at[1] == at[2]
+            found = list(_across(sides[0], sides[0] if same else sides[1], similar))
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["lead", "member"])
+
+        for batch in batches:
+            for a, b in slices(batch.column(6)):
+                found, weight, begin = weighted(Texts(batch.column(6).slice(a, b - a)), idf.value, size)
+                for k, (band, i, j, right, member, root) in enumerate(zip(*(batch.column(c).slice(a, b - a).to_pylist() for c in range(6)), strict=True)):
+                    if at != (band, i, j):
+                        yield links()
+                        at, sides = (band, i, j), ([], [])
+                    sides[right].append((member, root, (found[begin[k] : begin[k + 1]].copy(), weight[begin[k] : begin[k + 1]].copy())))
+        yield links()
+
+    dealt = met.join(texts.withColumnRenamed("key", "member"), "member").select("band", "i", "j", "right", "member", "root", "text").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return dealt.mapInArrow(tidy(judge), "lead binary, member binary")
+
+
 def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """Links between different texts (lead, member; md5 of each) of a weighted similarity of at least similar.
 
     First every member of a band's bucket meets its leader. Members that are
     not near it are dealt again by that band and each other one of theirs,
-    which parts unlike families that share a bucket, and meet new leaders.
+    which parts unlike families that share a bucket, and meet new leaders. Then
+    the members of a bucket that links do not join yet are all compared, so
+    that any two near texts that share a band are linked or of one class.
     """
     spark = docs.sparkSession
     body = docs.select(quoted(text).cast("string").alias("text")).filter("text is not null")
@@ -153,11 +240,11 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", simila
             parts.append(signatures(shingle[first[at] : first[upto]], weight[first[at] : first[upto]], first[at : upto + 1] - first[at], bands, rows))
             at = upto
         every = np.concatenate(parts) if parts else np.zeros((0, bands), np.uint64)
-        return [lists(every.reshape(-1).view(np.int64), np.concatenate([[0], np.cumsum(n * bands)]))]
+        return [lists(every.reshape(-1).view(np.int64), np.concatenate([[0], np.cumsum(n * bands)])), np.diff(first).astype(np.int32)]
 
     keyed = body.select("text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
-    signed = map_texts(keyed, kernel, [T.StructField("bands", T.ArrayType(T.LongType()))], keep=["key"])
-    banded = written(signed.filter(F.size("bands") > 0).groupBy("key").agg(F.first("bands").alias("bands")))
+    signed = map_texts(keyed, kernel, [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("shingles", T.IntegerType())], keep=["key"])
+    banded = written(signed.filter(F.size("bands") > 0).groupBy("key").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles")))
     flat = banded.select("key", F.explode("bands").alias("band"))
     first = written(_star(flat, ["band"]))
     pairs = first.select("lead", "member").distinct()
@@ -168,7 +255,8 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", simila
     finer = failed.join(banded, "key").select("key", "band", F.explode("bands").alias("other")).filter("band != other")
     fresh = written(_star(finer, ["band", "other"]).select("lead", "member").distinct().join(done, ["lead", "member"], "left_anti"))
     more = verified(fresh, texts, idf, similar, size)
-    return done.unionByName(written(more)).filter("near").select("lead", "member")
+    near = done.unionByName(written(more)).filter("near").select("lead", "member")
+    return near.unionByName(written(_rest(first, near, banded, texts, idf, similar, size)))
 
 
 def _one_each(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
