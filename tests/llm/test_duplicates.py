@@ -144,6 +144,17 @@ def test_near_passages(spark):
     assert len(rows) >= 1 and {(r["doc_id"], r["other_id"]) for r in rows} == {(2, 1)} and max(r["words"] for r in rows) >= 110
 
 
+def test_passages_of_copies_that_are_not_near_the_first_text(spark):
+    """Two texts hold one edited form of a passage that is not near its source: they are linked whichever text comes first."""
+    docs = []
+    for f in range(600):
+        source = [f"f{f}p{k}" for k in range(56)]
+        edited = [f"f{f}edit{k}" if k % 24 == 14 else w for k, w in enumerate(source)]
+        docs += [(10 * f + n, " ".join([*body, *(f"f{f}d{n}x{k}" for k in range(60))])) for n, body in enumerate([source, edited, edited])]
+    rows = substring_dedup.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(10 * f + 2, 10 * f + 1) for f in range(600)} == {(r["doc_id"], r["other_id"]) for r in rows}
+
+
 def test_windows_are_those_of_the_definition():
     import numpy as np
 
