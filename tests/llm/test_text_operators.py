@@ -27,6 +27,19 @@ def test_packing_gives_the_ids_of_the_tokenizers_library(spark, sf):
     assert got.sequence_id.is_unique and (got.offset == 0).all()
 
 
+def test_packing_of_texts_that_name_the_added_token(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one<|endoftext|>two", "<|endoftext|>", " a <|endoftext|> \n<|endoftext|><|endoftext|>", "<|endoftext", "<|fim_prefix|> x"]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().sort_values(["doc_id", "start"])
+    for k, text in enumerate(texts):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 0]
+        own = got[got.doc_id == k]
+        assert np.concatenate(own.ids.to_list()).tolist() == ids and set(own.doc_tokens) == {len(ids)}
+
+
 @pytest.mark.parametrize("n", [1, 2, 1023, 1024, 1025, 4097, 12345])
 def test_pieces(n):
     assert sum(packing.pieces(n)) == n and len(packing.pieces(n)) <= n // 1024 + 10

@@ -20,18 +20,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from vaultspark.llm.textvec import quoted, slices, tidy
 
-#: Longest sequence, and the id that ends a document.
+#: Longest sequence, the id that ends a document, and the added tokens of the public 50k vocabulary.
 CAPACITY = 1024
 END = 0
+ADDED = {"<|endoftext|>": 50256}
 
 
-def encoder(path: str, pattern: str):
-    """An encoder of ordinary text from a file of byte-level BPE ranks."""
+def encoder(path: str, pattern: str, added: dict[str, int] | None = None):
+    """An encoder from a file of byte-level BPE ranks, with added tokens and their ids."""
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
 
 
 def pieces(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -40,16 +41,16 @@ def pieces(n: int, capacity: int = CAPACITY) -> list[int]:
     return [capacity] * (n // capacity) + [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, *, tokenizer: tuple[str, str] | None = None, capacity: int = CAPACITY, text: str = "text", keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: tuple[str, str] | tuple[str, str, dict[str, int]] | None = None, capacity: int = CAPACITY, text: str = "text", keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:
     """Cut every document into pieces, each a sequence of its own.
 
     One row per piece: the kept columns (all but text), start, length,
     doc_tokens, bucket (log2 of the length), sequence_id (unique in the
     result), offset (0), ids_crc32 of the little-endian 32-bit ids and, with
-    with_ids, ids itself. tokenizer: a file of byte-level BPE ranks and its
-    split pattern; by default the public 50k vocabulary, whose ids equal those
-    of the tokenizers library's file of the same name. Strings that name
-    special tokens are ordinary text. A null text is empty: one piece that
+    with_ids, ids itself. tokenizer: a file of byte-level BPE ranks, its
+    split pattern and, if any, its added tokens; by default the public 50k vocabulary, whose ids equal those
+    of the tokenizers library's file of the same name. A string that
+    names an added token has that token's id. A null text is empty: one piece that
     holds the end id. Repeated rows are packed each. Input columns of the new
     columns' names are replaced.
     """
@@ -58,7 +59,7 @@ def pack(docs: DataFrame, *, tokenizer: tuple[str, str] | None = None, capacity:
     if tokenizer is None:
         import public_tokenizers
 
-        tokenizer = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+        tokenizer = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ADDED
     fields = T.StructType.fromDDL("start long, length long, doc_tokens long, bucket int, sequence_id long, offset long, ids_crc32 long").fields
     if with_ids:
         fields = [*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]
@@ -77,7 +78,7 @@ def pack(docs: DataFrame, *, tokenizer: tuple[str, str] | None = None, capacity:
             for a, b in slices(column):
                 row, start, length, total, crc, ids = [], [], [], [], [], []
                 for k, t in enumerate(column.slice(a, b - a).to_pylist(), a):
-                    own = np.array([*code.encode_ordinary(t or ""), END], "<u4")
+                    own = np.array([*code.encode(t or "", allowed_special="all"), END], "<u4")
                     raw, at = own.tobytes(), 0
                     for n in pieces(len(own), capacity):
                         row.append(k)
