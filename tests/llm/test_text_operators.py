@@ -98,6 +98,14 @@ def test_language_of_odd_rows(spark):
     assert language_id.identify(none(spark), p).count() == 0
 
 
+def test_languages_of_copies_have_profiles(spark):
+    """Each language has more rows than the sample, but few different texts, or few with a letter."""
+    docs = [(k, f"text {n} of {l}", l) for l in "abcdefgh" for n in range(2) for k in range(20)]
+    docs += [(k, f"{k} {k * k}", "z") for k in range(100)] + [(100, "one with letters", "z")]
+    p = language_id.learn(spark.createDataFrame(docs, "doc_id long, text string, lang string"), sample=5)
+    assert p.languages == [*"abcdefgh", "z"]
+
+
 def test_grams_and_ranks():
     assert sorted(language_id.grams("aB, a1").tolist()) == sorted(language_id.grams("ab a").tolist())
     assert len(language_id.grams("123 !")) == 0

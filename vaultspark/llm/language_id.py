@@ -92,18 +92,21 @@ class Profiles:
 
 
 def learn(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample: int = SAMPLE, size: int = PROFILE, longest: int = LONGEST) -> Profiles:
-    """Learn a profile for each non-null language.
+    """Learn a profile for each non-null language that has a text with a letter.
 
-    About sample texts of each language are used, chosen by a hash of the
-    text, so that the sample does not depend on the order of rows. N-grams of
+    About sample distinct texts of each language are used (all, if it has no
+    more), chosen by a hash of the text, so that the sample depends neither on
+    the order of rows nor on copies. Texts without a letter say nothing and
+    are not counted. N-grams of
     the sampled texts are counted per partition and added up by Spark.
     """
     rows = labelled.select(quoted(lang).cast("string").alias("l"), quoted(text).cast("string").alias("t")).filter("l is not null and t is not null")
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.filter(F.col("t").rlike(r"\p{L}")).withColumn("h", F.xxhash64("t"))
+    counts = {r["l"]: r["n"] for r in rows.select("l", "h").distinct().groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Profiles([], np.zeros(0, np.int64), np.zeros((0, 1), np.int64), size)
     share = F.create_map(*(F.lit(x) for l, n in counts.items() for x in (l, min(1.0, sample / n))))
-    chosen = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < F.element_at(share, F.col("l")) * (1 << 20))
+    chosen = rows.filter(F.pmod("h", F.lit(1 << 20)) < F.element_at(share, F.col("l")) * (1 << 20)).dropDuplicates(["l", "h"]).select("l", "t")
 
     def count(batches):
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
