@@ -1,12 +1,13 @@
 """Line, near-duplicate and passage operators against brute force."""
 
+import random
 from collections import defaultdict
 from itertools import combinations
 
 import pytest
 
 from tests.llm.cases import edge, none
-from vaultspark.llm import graph, line_dedup, near_dedup, substring_dedup
+from vaultspark.llm import graph, line_dedup, near_dedup, substring_dedup, textvec
 
 
 def plain_lines(docs):
@@ -155,6 +156,48 @@ def test_passages_of_copies_that_are_not_near_the_first_text(spark):
     assert {(10 * f + 2, 10 * f + 1) for f in range(600)} == {(r["doc_id"], r["other_id"]) for r in rows}
 
 
+def planted(edits):
+    """Groups of texts that share a passage, each but the first with so many words of it changed, under ids in no order, and texts of their own."""
+    draw = random.Random(edits + 5)
+    some = lambda n: [f"w{draw.randrange(4000)}" for _ in range(n)]
+    ids, docs, groups = draw.sample(range(5000), 900), [], []
+    for size in (2, 3, 5, 10):
+        for _ in range(15):
+            source, own = some(70 + 30 * (edits > 0)), []
+            for copy in range(size):
+                body = list(source)
+                for at in draw.sample(range(len(body)), edits if copy else 0):
+                    body[at] = f"edit{draw.randrange(4000)}"
+                own.append(ids.pop())
+                docs.append((own[-1], " ".join(some(draw.randrange(20, 150)) + body + some(draw.randrange(20, 150)))))
+            groups.append(sorted(own))
+    docs += [(ids.pop(), " ".join(some(200))) for _ in range(100)]
+    return docs, groups
+
+
+def test_every_later_text_of_an_exact_passage_has_a_row(spark):
+    docs, groups = planted(0)
+    rows = substring_dedup.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in rows} == {i for g in groups for i in g[1:]} and all(r["other_id"] < r["doc_id"] for r in rows)
+
+
+def test_recall_of_near_passages(spark):
+    """Of texts that an earlier one has a near passage of, by verifying all pairs of a group, nine in ten have a row."""
+    import pyarrow as pa
+
+    docs, groups = planted(2)
+    found = {r["doc_id"] for r in substring_dedup.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+
+    def set_of(text):
+        words, first = textvec.Texts(pa.array([text])).words(textvec.SPACED)
+        return textvec.shingles(words, first, 5)[0]
+
+    sets = {i: set_of(t) for i, t in docs}
+    near = lambda a, b: substring_dedup.passages(sets[a], sets[b], [0, len(sets[a]) - 1, 0, len(sets[b]) - 1], 46, 0.8)
+    want = {b for g in groups for k, b in enumerate(g) if any(near(a, b) for a in g[:k])}
+    assert found <= want and len(found) >= 0.9 * len(want)
+
+
 def test_windows_are_those_of_the_definition():
     import numpy as np
 
