@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultspark import lexicons as L
@@ -15,9 +15,13 @@ def rx(pattern: str, flags: str = "") -> str:
     return f"(?{flags}Ud){pattern}"
 
 
+#: Unicode's white space.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, rx(r"^\s+|\s+\z"), "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def filled(c: Column) -> Column:
@@ -46,7 +50,7 @@ def any_of(c: Column, words: list[str]) -> Column:
 
 def tokens(c: Column) -> Column:
     """Runs of a-z and 0-9 of more than one character, in lower case."""
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) > 1)
+    return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
 def word_set(c: Column) -> Column:
@@ -90,3 +94,8 @@ def allergens(text: Column) -> Column:
     named = F.transform(F.regexp_extract_all(text, F.lit(rx(L.ALLERGY, "i")), F.lit(1)), lambda x: F.rtrim(strip(x), F.lit(".,;")))
     none = F.coalesce(text, F.lit("")) == ""
     return F.when(none, F.array().cast("array<string>")).when(text.rlike(rx(L.NO_ALLERGY, "i")), F.array(F.lit(L.NO_ALLERGY_LABEL))).otherwise(F.filter(named, lambda x: F.length(x) > 2))
+
+
+def exploded(rows: DataFrame, column: str, at: str, to: str) -> DataFrame:
+    """A row per element. The outer form: for the inner one Catalyst infers a filter on the array's size and computes the array twice."""
+    return rows.select("*", F.posexplode_outer(column).alias(at, to)).filter(F.col(at).isNotNull())

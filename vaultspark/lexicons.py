@@ -68,18 +68,18 @@ ABBREVIATIONS = [
     ("mi", "myocardial infarction"), ("icu", "intensive care unit"), ("od", "once daily"), ("bd", "twice daily"), ("tds", "three times daily"), ("qid", "four times daily"), ("sos", "as needed"), ("op", "outpatient"), ("ip", "inpatient"), ("prn", "as needed"),
     ("iv", "intravenous"), ("im", "intramuscular"), ("sc", "subcutaneous"), ("rbs", "random blood sugar"), ("fbs", "fasting blood sugar"), ("ppbs", "postprandial blood sugar"), ("echo", "echocardiogram"), ("efef", "ejection fraction"), ("ivf", "intravenous fluids"), ("nsr", "normal sinus rhythm"),
 ]
-VOCABULARY = """
-diabetes hypertension pneumonia tuberculosis malaria typhoid appendicitis cholecystitis pancreatitis hepatitis cirrhosis nephritis pyelonephritis anemia leukemia lymphoma carcinoma
-infarction angina arrhythmia atherosclerosis thrombosis embolism hemorrhage fracture osteoporosis arthritis asthma bronchitis emphysema pleuritis peritonitis hypertensive diabetic cardiac
-renal hepatic pulmonary coronary cerebral vascular surgical chronic acute
-metformin insulin glipizide glimepiride sitagliptin amlodipine atenolol metoprolol lisinopril ramipril atorvastatin rosuvastatin aspirin clopidogrel warfarin amoxicillin azithromycin
-ciprofloxacin metronidazole omeprazole pantoprazole ranitidine paracetamol ibuprofen tramadol morphine prednisolone dexamethasone furosemide spironolactone hydrochlorothiazide digoxin
-amiodarone salbutamol ipratropium budesonide fluticasone
-hemoglobin hematocrit leukocyte erythrocyte platelet creatinine urea sodium potassium chloride bicarbonate glucose cholesterol triglycerides albumin bilirubin alanine aspartate alkaline
-phosphatase amylase lipase hemoglobin hematocrit neutrophil lymphocyte eosinophil
-appendectomy cholecystectomy laparoscopy laparotomy colonoscopy endoscopy bronchoscopy catheterization angioplasty bypass hemodialysis biopsy mastectomy prescription discharge diagnosis
-medication surgery treatment admission investigation laboratory radiology allergies allergy symptoms history examination
-""".split()
+VOCABULARY = [
+    "diabetes", "hypertension", "pneumonia", "tuberculosis", "malaria", "typhoid", "appendicitis", "cholecystitis", "pancreatitis", "hepatitis", "cirrhosis", "nephritis", "pyelonephritis", "anemia", "leukemia", "lymphoma", "carcinoma",
+    "infarction", "angina", "arrhythmia", "atherosclerosis", "thrombosis", "embolism", "hemorrhage", "fracture", "osteoporosis", "arthritis", "asthma", "bronchitis", "emphysema", "pleuritis", "peritonitis", "hypertensive", "diabetic", "cardiac",
+    "renal", "hepatic", "pulmonary", "coronary", "cerebral", "vascular", "surgical", "chronic", "acute",
+    "metformin", "insulin", "glipizide", "glimepiride", "sitagliptin", "amlodipine", "atenolol", "metoprolol", "lisinopril", "ramipril", "atorvastatin", "rosuvastatin", "aspirin", "clopidogrel", "warfarin", "amoxicillin", "azithromycin",
+    "ciprofloxacin", "metronidazole", "omeprazole", "pantoprazole", "ranitidine", "paracetamol", "ibuprofen", "tramadol", "morphine", "prednisolone", "dexamethasone", "furosemide", "spironolactone", "hydrochlorothiazide", "digoxin",
+    "amiodarone", "salbutamol", "ipratropium", "budesonide", "fluticasone",
+    "hemoglobin", "hematocrit", "leukocyte", "erythrocyte", "platelet", "creatinine", "urea", "sodium", "potassium", "chloride", "bicarbonate", "glucose", "cholesterol", "triglycerides", "albumin", "bilirubin", "alanine", "aspartate", "alkaline",
+    "phosphatase", "amylase", "lipase", "hemoglobin", "hematocrit", "neutrophil", "lymphocyte", "eosinophil",
+    "appendectomy", "cholecystectomy", "laparoscopy", "laparotomy", "colonoscopy", "endoscopy", "bronchoscopy", "catheterization", "angioplasty", "bypass", "hemodialysis", "biopsy", "mastectomy", "prescription", "discharge", "diagnosis",
+    "medication", "surgery", "treatment", "admission", "investigation", "laboratory", "radiology", "allergies", "allergy", "symptoms", "history", "examination",
+]
 #: Classes of questions, first match wins, with their route.
 ROUTES = [
     ("ALLERGY_QUERY", "allergy_agent", ["allerg", "allergic", "intoleran", "reaction", "rash", "anaphyl", "hypersensitiv", "contraindicated"]),
@@ -104,7 +104,7 @@ PAN_COST = 100_000
 TOKEN_ALPHABET = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"
 UNAVAILABLE = "Could not complete an automatic check right now — a hospital staff member will review this shortly."
 
-#: Explanations of checklist results.
+#: Explanations of checklist results (fixed values).
 MESSAGES = {
     "identity_absent": "No identity document uploaded yet",
     "national_ok": "Identity document recognized (Aadhaar checksum valid)",
@@ -155,8 +155,20 @@ SHARP_MIN, NOISE_HIGH, CONTRAST_LOW, SKEW_TRIVIAL, SKEW_MODERATE, OCCUPANCY_LOW,
 DIGITAL = {"sharpness": 500.0, "contrast": 0.20, "noise": 0.06, "occupancy": 0.80}
 HANDWRITING = {"score": 0.78, "component": 0.55, "stroke": 0.45}
 DENOISE_MIN, CLAHE_MAX, BLUR_MAX, THRESHOLD_MAX, BLUR_SPAN = 0.055, 0.30, 120.0, 0.28, 600.0
-#: Steps of each preset: P perspective, D deskew, N denoise, H handwriting, C contrast, B blur recovery, S sharpen, T threshold, R border.
+#: Steps of each preset in the order that they run, each with its parameters; every preset converts to gray first.
 PRESETS = {
-    "digital_pdf": "", "grayscale_only": "", "auto_adaptive": "", "deskew_only": "D", "clahe_only": "C", "crop_only": "P", "clean_scan": "DC", "tilted_scan": "PDCR", "lab_report": "DC", "prescription": "DNHC",
-    "discharge_summary": "DC", "handwritten": "DNHCR", "low_quality_scan": "DNCSTR", "mobile_capture": "PDNCBTR",
-}
+    "digital_pdf": {},
+    "grayscale_only": {},
+    "auto_adaptive": {},
+    "deskew_only": {"deskew": {}},
+    "clahe_only": {"clahe": {"clip_limit": 1.5, "tile_grid": 8}},
+    "crop_only": {"perspective": {}},
+    "clean_scan": {"deskew": {}, "clahe": {"clip_limit": 1.5, "tile_grid": 8}},
+    "tilted_scan": {"perspective": {}, "deskew": {}, "clahe": {"clip_limit": 1.5, "tile_grid": 8}, "border": {"fraction": 0.005}},
+    "lab_report": {"deskew": {}, "clahe": {"clip_limit": 1.5, "tile_grid": 8}},
+    "prescription": {"deskew": {}, "denoise": {"h": 5.0, "template_size": 7, "search_size": 21}, "handwriting": {"dilate_kernel": 2}, "clahe": {"clip_limit": 2.5, "tile_grid": 8}},
+    "discharge_summary": {"deskew": {}, "clahe": {"clip_limit": 1.8, "tile_grid": 8}},
+    "handwritten": {"deskew": {}, "denoise": {"h": 5.0, "template_size": 7, "search_size": 21}, "handwriting": {"dilate_kernel": 2}, "clahe": {"clip_limit": 3.0, "tile_grid": 8}, "border": {"fraction": 0.01}},
+    "low_quality_scan": {"deskew": {}, "denoise": {"h": 9.0, "template_size": 7, "search_size": 21}, "clahe": {"clip_limit": 2.5, "tile_grid": 8}, "sharpen": {"amount": 0.4}, "threshold": {"block_size": 21, "c": 8}, "border": {"fraction": 0.01}},
+    "mobile_capture": {"perspective": {}, "deskew": {}, "denoise": {"h": 7.0, "template_size": 7, "search_size": 21}, "clahe": {"clip_limit": 3.0, "tile_grid": 8}, "blur_recovery": {"strength": 0.5}, "threshold": {"block_size": 25, "c": 10}, "border": {"fraction": 0.01}},
+}

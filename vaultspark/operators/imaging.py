@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultspark import lexicons as L
@@ -77,14 +77,22 @@ def arms(confidence: Column, skew: Column, occupancy: Column) -> Column:
 
 def plan(preset: Column, sharpness: Column, noise: Column, contrast: Column, skew: Column, boxed: Column) -> Column:
     """The preset's steps whose gates let them pass, in order."""
-    steps = lookup(preset, L.PRESETS, "")
-    has = lambda s: F.contains(steps, F.lit(s))
+    has = lambda step: preset.isin([name for name, steps in L.PRESETS.items() if step in steps])
     turn = F.abs(skew)
     gates = [
-        ("perspective", has("P") & ((turn >= L.SKEW_MODERATE) | boxed)), ("deskew", has("D") & (turn >= L.SKEW_TRIVIAL)), ("denoise", has("N") & (noise >= L.DENOISE_MIN)), ("handwriting", has("H")), ("clahe", has("C") & (contrast < L.CLAHE_MAX)),
-        ("blur_recovery", has("B") & (sharpness < L.BLUR_MAX)), ("sharpen", has("S") & ~has("B")), ("threshold", has("T") & ~has("H") & (contrast < L.THRESHOLD_MAX)), ("border", has("R")),
+        ("perspective", (turn >= L.SKEW_MODERATE) | boxed), ("deskew", turn >= L.SKEW_TRIVIAL), ("denoise", noise >= L.DENOISE_MIN), ("handwriting", F.lit(True)), ("clahe", contrast < L.CLAHE_MAX),
+        ("blur_recovery", sharpness < L.BLUR_MAX), ("sharpen", ~has("blur_recovery")), ("threshold", ~has("handwriting") & (contrast < L.THRESHOLD_MAX)), ("border", F.lit(True)),
     ]
-    return F.array_compact(F.array(*(F.when(on, F.lit(name)) for name, on in gates)))
+    return F.array_compact(F.array(*(F.when(has(name) & on, F.lit(name)) for name, on in gates)))
+
+
+def parameters(preset: Column) -> Column:
+    """The preset's steps with their parameters, as a map of step to a map of name to value."""
+    inner = lambda values: F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.lit(float(v))))) if values else F.create_map().cast("map<string,double>")
+    out = F
+    for name, steps in L.PRESETS.items():
+        out = out.when(preset == name, F.create_map(*(x for step, values in steps.items() for x in (F.lit(step), inner(values)))) if steps else F.create_map().cast("map<string,map<string,double>>"))
+    return out
 
 
 def winner(candidates: DataFrame) -> DataFrame:
@@ -96,11 +104,6 @@ def winner(candidates: DataFrame) -> DataFrame:
     return per.select("page_id", "baseline_conf", "baseline_chars", band(F.col("baseline_conf")).alias("conf_band"), pick("arm", F.lit("original")).alias("winner_arm"), pick("confidence", F.col("baseline_conf")).alias("winner_conf"), pick("chars", F.col("baseline_chars")).alias("winner_chars"))
 
 
-def first_arm(candidates: DataFrame) -> DataFrame:
-    """The arms of each page in order."""
-    return candidates.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy("ordinal")))
-
-
 def kernels(gray: np.ndarray) -> tuple[float, float, float, float, float]:
     """Sharpness (variance of the Laplacian), noise (deviation from a 5x5 Gaussian), contrast, brightness and text density (share below Otsu's threshold)."""
     g = gray.astype(np.float64)

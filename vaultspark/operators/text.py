@@ -6,25 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultspark import lexicons as L
-from vaultspark.functions.strings import first_match, is_garbage, lookup, rx, strip, tokens, without_bom, words
+from vaultspark.functions.strings import exploded, first_match, is_garbage, lookup, rx, strip, tokens, without_bom, words
 
 #: Words of a chunk, and of the sentence that the next one repeats.
 CHUNK_WORDS, OVERLAP_WORDS = 384, 48
 CHUNK = "array<struct<text:string,semantic_type:string>>"
 
 
-def doc_type(text: Column) -> Column:
-    """The class whose keywords occur most often; the first of equals; `unknown` without any."""
-    t = F.lower(text)
-    classes = F.array(*(F.struct(F.lit(-k).alias("k"), F.lit(name).alias("name"), F.array(*(F.lit(w) for w in terms)).alias("terms")) for k, (name, terms) in enumerate(L.DOC_TYPES.items())))
-    times = lambda w: ((F.length(t) - F.length(F.replace(t, w, F.lit("")))) / F.length(w)).cast("int")
-    scored = F.transform(classes, lambda c: F.struct(F.aggregate(c["terms"], F.lit(0), lambda n, w: n + times(w)).alias("n"), c["k"].alias("k"), c["name"].alias("name")))
-    none = F.array(F.struct(F.lit(0).alias("n"), F.lit(1).alias("k"), F.lit("unknown").alias("name")))  # before any class without a hit
-    return F.array_max(F.concat(none, scored))["name"]
+def doc_type(text: str) -> Column:
+    """The class of a column of texts whose keywords occur most often; the first of equals; `unknown` without any.
+
+    One expression that names its input a hundred times: SQL text is parsed at
+    once, and lower case is computed once a row.
+    """
+    q = "`" + text.replace("`", "``") + "`"
+    quote = lambda w: "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    hits = lambda terms: " + ".join(f"(octet_length(lower({q})) - octet_length(replace(lower({q}), {quote(w)}, ''))) div {len(w.encode())}" for w in terms)
+    scored = [f"named_struct('n', {hits(terms)}, 'k', {-k}, 'name', {quote(name)})" for k, (name, terms) in enumerate(L.DOC_TYPES.items())]
+    none = "named_struct('n', 0L, 'k', 1, 'name', 'unknown')"  # before any class without a hit
+    return F.expr(f"if({q} is null, 'unknown', array_max(array({none}, {', '.join(scored)})).name)")
 
 
 def classify(docs: DataFrame, text: str = "text", to: str = "doc_type") -> DataFrame:
-    return docs.withColumn(to, doc_type(F.col(text)))
+    return docs.withColumn(to, doc_type(text))
 
 
 def visit_date(text: Column) -> Column:
@@ -178,7 +182,7 @@ def chunk_id(patient: Column, path: Column, index: Column, prefix: str = "") ->
 def explode_chunks(docs: DataFrame, text: str = "text", kind: str = "doc_type", patient: str = "patient_id", path: str = "file_path") -> DataFrame:
     """A row per chunk that is not blank: chunk_id, chunk_index (with gaps for blanks), total_chunks, semantic_type and its text, beside the document's columns."""
     each = docs.withColumn("__c", chunks(F.col(text), F.col(kind)))
-    rows = each.select("*", F.size("__c").alias("total_chunks"), F.posexplode("__c").alias("chunk_index", "__x"))
+    rows = exploded(each.withColumn("total_chunks", F.size("__c")), "__c", "chunk_index", "__x")
     rows = rows.withColumns({"text": F.col("__x.text"), "semantic_type": F.col("__x.semantic_type"), "chunk_id": chunk_id(F.col(patient), F.col(path), F.col("chunk_index"))})
     return rows.filter(strip(F.col("text")) != "").drop("__c", "__x")
 
@@ -201,14 +205,16 @@ def choose_extraction(candidates: DataFrame) -> DataFrame:
         .when(n("vision_text") > n("ocr_text"), pick(vision, "gemini"))
         .otherwise(pick(ocr, "doctr_fallback"))
     )
-    better = (doc_type(scanned["text"]) != "unknown") | (F.length(strip(scanned["text"])) > n("layer_text"))
+    candidates = candidates.withColumns({"__layer_type": doc_type("layer_text"), "__s": scanned}).withColumn("__scanned", F.col("__s.text"))
+    scanned, layer_type = F.col("__s"), F.col("__layer_type")
+    better = (doc_type("__scanned") != "unknown") | (F.length(strip(F.col("__scanned"))) > n("layer_text"))
     chosen = (
         F.when(F.lower("suffix").isin(".txt", ".md", ".text"), pick(F.col("plain_text"), "plaintext"))
-        .when(digital & (doc_type(layer) != "unknown"), pick(layer, "pymupdf"))
+        .when(digital & (layer_type != "unknown"), pick(layer, "pymupdf"))
         .when(digital & ~better, pick(layer, "pymupdf"))
         .otherwise(scanned)
     )
-    return candidates.withColumn("__p", chosen).withColumns({"text": without_bom(F.col("__p.text")), "extraction_method": F.col("__p.method")}).drop("__p")
+    return candidates.withColumn("__p", chosen).withColumns({"text": without_bom(F.col("__p.text")), "extraction_method": F.col("__p.method")}).drop("__p", "__s", "__scanned", "__layer_type")
 
 
 def ingest(docs: DataFrame) -> DataFrame:

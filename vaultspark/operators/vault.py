@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultspark import lexicons as L
-from vaultspark.functions.strings import allergens, lookup, year
+from vaultspark.functions.strings import allergens, exploded, lookup, year
 
 UNKNOWN_YEAR = "Unknown Year"
 #: Groups of a vault page, in the two orders that it is shown in (fixed values).
@@ -55,13 +55,13 @@ def timeline_text(events: DataFrame) -> DataFrame:
 
 def medications(chunks: DataFrame) -> DataFrame:
     """name, source and date, once per name (case aside) and file."""
-    each = chunks.select("patient_id", "file_name", "chunk_index", "chunk_id", F.col("visit_date").alias("date"), F.posexplode("drugs").alias("at", "name"))
+    each = exploded(chunks.select("patient_id", "file_name", "chunk_index", "chunk_id", F.col("visit_date").alias("date"), "drugs"), "drugs", "at", "name")
     return first_of(each, ["patient_id", F.lower("name"), "file_name"], ["chunk_index", "chunk_id", "at"]).select("patient_id", "name", F.col("file_name").alias("source"), "date")
 
 
 def allergies(chunks: DataFrame) -> DataFrame:
     """allergen, source and date, once per name (case aside) and file."""
-    each = chunks.select("patient_id", "file_name", "chunk_index", "chunk_id", F.col("visit_date").alias("date"), F.posexplode(allergens(F.col("text"))).alias("at", "allergen"))
+    each = exploded(chunks.select("patient_id", "file_name", "chunk_index", "chunk_id", F.col("visit_date").alias("date"), allergens(F.col("text")).alias("named")), "named", "at", "allergen")
     return first_of(each, ["patient_id", F.lower("allergen"), "file_name"], ["chunk_index", "chunk_id", "at"]).select("patient_id", "allergen", F.col("file_name").alias("source"), "date")
 
 

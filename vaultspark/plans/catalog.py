@@ -9,7 +9,7 @@ from vaultspark import models
 from vaultspark.functions import numbers, strings, validators
 from vaultspark.operators import evaluation, imaging, questions, retrieval, text, vault, verdicts, workflow
 from vaultspark.plans.fixtures import view
-from vaultspark.session import scratch
+from vaultspark.session import kept, scratch, stored
 from vaultspark.sources import files, sinks
 from vaultspark.streaming import ingest
 
@@ -26,11 +26,16 @@ def fielded(s: SparkSession, d: str) -> DataFrame:
     return text.extract_fields(text.classify(view(s, d, "notes")))
 
 
+def vaulted(s: SparkSession, d: str) -> DataFrame:
+    """The same as the vault holds them: classified and extracted at ingestion, once."""
+    return kept(s, f"vault of {d}", lambda: fielded(s, d))
+
+
 def hits(s: SparkSession, d: str) -> DataFrame:
     """Hybrid hits with their documents' fields and rerank scores."""
     chunks, asked = view(s, d, "chunks"), view(s, d, "questions")
     found = retrieval.rerank(retrieval.hybrid(chunks, asked), asked)
-    return found.join(chunks.select("chunk_id", "file_name", "doc_type", "semantic_type", "visit_date"), "chunk_id")
+    return stored(found.join(chunks.select("chunk_id", "file_name", "doc_type", "semantic_type", "visit_date"), "chunk_id"))
 
 
 # -- text ----------------------------------------------------------------------------
@@ -93,7 +98,8 @@ def field_drugs(s, d):
 
 @query
 def field_lab_values(s, d):
-    return fielded(s, d).select("note_id", F.explode("lab_values").alias("name", "value"))
+    named = fielded(s, d).select("note_id", F.explode_outer("lab_values").alias("name", "value"))  # the inner form computes the map twice
+    return named.filter("name is not null")
 
 
 @query
@@ -106,7 +112,8 @@ def lab_json_roundtrip(s, d):
 def section_split(s, d):
     from vaultspark import lexicons
 
-    each = text.classify(view(s, d, "notes")).filter("doc_type = 'discharge_summary'").select("note_id", "doc_type", F.posexplode(text.sections(F.col("text"), lexicons.SECTION_HEADER)).alias("pos", "x"))
+    each = text.classify(view(s, d, "notes")).filter("doc_type = 'discharge_summary'").select("note_id", "doc_type", text.sections(F.col("text"), lexicons.SECTION_HEADER).alias("parts"))
+    each = strings.exploded(each, "parts", "pos", "x")
     return each.select("note_id", "pos", F.col("x.header").alias("header"), F.col("x.text").alias("section"), text.semantic_of_header(F.col("x.header"), F.col("doc_type")).alias("semantic_type"))
 
 
@@ -122,14 +129,15 @@ def chunk_ids(s, d):
 
 @query
 def sentence_pack(s, d):
-    return view(s, d, "documents").select("doc_id", F.posexplode(text.pack_sentences(F.col("text"))).alias("at", "chunk")).select("doc_id", "at", F.length("chunk").alias("n_chars"))
+    packed = view(s, d, "documents").select("doc_id", text.pack_sentences(F.col("text")).alias("chunks"))
+    return strings.exploded(packed, "chunks", "at", "chunk").select("doc_id", "at", F.length("chunk").alias("n_chars"))
 
 
 @query
 def llm_section_parse(s, d):
     reply = F.concat(F.lit("SECTION: diagnosis\nTEXT: seen "), F.col("file_name"), F.lit("\nmore lines\nSECTION: medication_history\nTEXT: none\nSECTION: lab_reports"))
     parsed = text.parse_sections(F.when(F.col("note_id") % 3 != 0, reply), F.col("text"))
-    return view(s, d, "notes").select("note_id", F.posexplode(parsed).alias("pos", "x")).select("note_id", "pos", F.col("x.semantic_type").alias("semantic_type"), F.col("x.text").alias("text"))
+    return strings.exploded(view(s, d, "notes").select("note_id", parsed.alias("parts")), "parts", "pos", "x").select("note_id", "pos", F.col("x.semantic_type").alias("semantic_type"), F.col("x.text").alias("text"))
 
 
 @query
@@ -206,7 +214,7 @@ def query_route(s, d):
 def agent_dispatch(s, d):
     routes = F.array(*(F.lit(r) for r in ("timeline_agent", "admission_agent", "medication_agent", "allergy_agent", "surgery_agent", "rag_agent")))
     asked = view(s, d, "customer").select(F.col("c_custkey").alias("patient_id"), F.explode(routes).alias("route")).withColumn("question_id", F.concat_ws("-", F.col("patient_id").cast("string"), "route"))
-    return vault.dispatch(asked, fielded(s, d)).select("question_id", "route", "confidence")
+    return vault.dispatch(asked, vaulted(s, d)).select("question_id", "route", "confidence")
 
 
 # -- retrieval -----------------------------------------------------------------------
@@ -227,7 +235,7 @@ def bm25_filtered(s, d):
 @query
 def vector_topk(s, d):
     e = view(s, d, "embeddings").select(F.col("label").cast("string").alias("patient_id"), F.col("vec_id").alias("chunk_id"), "embedding")
-    asked = view(s, d, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("question_id"), F.col("label").cast("string").alias("patient_id"), F.col("embedding").alias("query_vector"))
+    asked = view(s, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("label").cast("string").alias("patient_id"), F.col("embedding").alias("query_vector"))
     return retrieval.vector_top(e, asked)
 
 
@@ -283,58 +291,58 @@ def agent_confidence(s, d):
 
 @query
 def vault_timeline(s, d):
-    return vault.timeline(fielded(s, d))
+    return vault.timeline(vaulted(s, d))
 
 
 @query
 def timeline_text(s, d):
-    return vault.timeline_text(vault.timeline(fielded(s, d)))
+    return vault.timeline_text(vault.timeline(vaulted(s, d)))
 
 
 @query
 def vault_medications(s, d):
-    return vault.medications(fielded(s, d))
+    return vault.medications(vaulted(s, d))
 
 
 @query
 def vault_allergies(s, d):
-    return vault.allergies(fielded(s, d))
+    return vault.allergies(vaulted(s, d))
 
 
 @query
 def vault_surgeries(s, d):
-    return vault.surgeries(fielded(s, d))
+    return vault.surgeries(vaulted(s, d))
 
 
 @query
 def vault_summary(s, d):
     names = ["allergies", "medications", "diagnoses", "surgeries", "doctors", "hospitals"]
-    return vault.summary(fielded(s, d)).select("patient_id", *(F.array_join(c, " | ").alias(c) for c in names), "latest_visit", "document_count")
+    return vault.summary(vaulted(s, d)).select("patient_id", *(F.array_join(c, " | ").alias(c) for c in names), "latest_visit", "document_count")
 
 
 @query
 def summary_text(s, d):
-    return vault.summary_text(vault.summary(fielded(s, d)))
+    return vault.summary_text(vault.summary(vaulted(s, d)))
 
 
 @query
 def medications_text(s, d):
-    return vault.medications_text(vault.medications(fielded(s, d)))
+    return vault.medications_text(vault.medications(vaulted(s, d)))
 
 
 @query
 def allergies_text(s, d):
-    return vault.allergies_text(vault.allergies(fielded(s, d)))
+    return vault.allergies_text(vault.allergies(vaulted(s, d)))
 
 
 @query
 def surgeries_text(s, d):
-    return vault.surgeries_text(vault.surgeries(fielded(s, d)))
+    return vault.surgeries_text(vault.surgeries(vaulted(s, d)))
 
 
 @query
 def vault_inspect(s, d):
-    return vault.inspect(fielded(s, d).withColumn("semantic_type", text.semantic_of(F.col("doc_type"))))
+    return vault.inspect(vaulted(s, d).withColumn("semantic_type", text.semantic_of(F.col("doc_type"))))
 
 
 @query

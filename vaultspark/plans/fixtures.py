@@ -9,6 +9,12 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vaultspark.session import kept, spread
+
+#: Tables that text operators read.
+SPREAD = ["documents", "orders"]
+#: Views that are written once a session, as the tables that they stand for would be.
+STORED = ["notes"]
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
@@ -154,7 +160,14 @@ def _names(sql: str) -> list[str]:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or a view over them."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(table) if name in SPREAD else table
+    if name in STORED:
+        return kept(spark, f"{name} of {sf_dir}", lambda: _made(spark, sf_dir, name))
+    return _made(spark, sf_dir, name)
+
+
+def _made(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = VIEWS[name]
     return spark.sql(sql, **{n: view(spark, sf_dir, n) for n in _names(sql)}) if _names(sql) else spark.sql(sql.replace("{{", "{").replace("}}", "}"))
 

@@ -181,7 +181,7 @@ ORACLE |= {
     "bm25_topk": f"{ctes('questions')}, {_bm25(_DOCS)} SELECT question_id, chunk_id, rank, score AS bm25_score FROM b",
     "bm25_filtered": f"{ctes('questions')}, {_bm25(_DOCS)} SELECT question_id, chunk_id, rank, score AS bm25_score FROM b JOIN documents ON doc_id = chunk_id WHERE lang = 'en'",
     "vector_topk": f"""SELECT question_id, patient_id, chunk_id, score, rank FROM (SELECT *, cast(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS integer) AS rank FROM (
-SELECT q.vec_id AS question_id, cast(q.label AS varchar) AS patient_id, e.vec_id AS chunk_id, {_COS.replace('query_vector', 'q.embedding').replace('(embedding', '(e.embedding').replace(', embedding', ', e.embedding')} AS score FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id < 20)) WHERE rank <= {L.TOP_CANDIDATES}""",
+SELECT q.vec_id AS question_id, cast(q.label AS varchar) AS patient_id, e.vec_id AS chunk_id, {_COS.replace('query_vector', 'q.embedding').replace('(embedding', '(e.embedding').replace(', embedding', ', e.embedding')} AS score FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id % 20 = 0)) WHERE rank <= {L.TOP_CANDIDATES}""",
     "vector_filtered": f"{ctes('chunks', 'questions')} SELECT * FROM (SELECT *, cast(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS integer) AS rank FROM (SELECT question_id, chunk_id, {_COS} AS score FROM chunks JOIN questions USING (patient_id) WHERE semantic_type = 'diagnosis')) WHERE rank <= {L.TOP_CANDIDATES}",
     "vector_unit": "SELECT vec_id, 1.0::double AS length2, round(embedding[1]::double / sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) AS x0 FROM embeddings",
     "rrf_fuse": f"{_HYBRID} SELECT question_id, position, chunk_id, rrf_score FROM fused WHERE position <= 40",
@@ -345,7 +345,7 @@ _TIER = f"""CASE WHEN sharpness >= {_DIG['sharpness']} AND contrast >= {_DIG['co
 _ARMS = "CASE " + _BAND.format("confidence")[5:]
 for _n, _a in L.ARMS.items():
     _ARMS = _ARMS.replace(f"THEN {q(_n)}", f"THEN {_a}").replace(f"ELSE {q(_n)}", f"ELSE {_a}")
-_HAS = lambda s: f"contains(steps, '{s}')"
+_HAS = lambda step: f"list_contains(steps, '{step}')"
 _PCT = lambda b, a: f"CASE WHEN {b} = 0 THEN CASE WHEN {a} > 0 THEN 100.0::double ELSE 0.0::double END ELSE round(({a}::double - {b}::double) / {b}::double * 100, 2) END"
 _WON = f"""{ctes('arm_scores')}, base AS (SELECT page_id, confidence AS baseline_conf, chars AS baseline_chars FROM arm_scores WHERE arm = 'original'),
 top AS (SELECT page_id, arm, confidence, chars FROM arm_scores WHERE arm <> 'original' AND confidence IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, ordinal) = 1),
@@ -361,9 +361,9 @@ SELECT image_id, flags IS NOT NULL OR regexp_matches(description, '\\bABNORMAL\\
     "img_band": f"{ctes('img_metrics')} SELECT page_id, {_BAND.format('confidence')} AS band FROM img_metrics",
     "img_arms": f"""{ctes('img_metrics')}, a AS (SELECT *, {_ARMS} AS a0 FROM img_metrics), b AS (SELECT *, CASE WHEN abs(skew) >= {L.DESKEW_AT} AND NOT list_contains(a0, 'deskew_only') THEN a0 || ['deskew_only'] ELSE a0 END AS a1 FROM a)
 SELECT page_id, CASE WHEN confidence >= 0.9 THEN '' ELSE array_to_string(CASE WHEN occupancy < {L.CROP_BELOW} THEN a1 || ['crop_only'] ELSE a1 END, ',') END AS arms FROM b""",
-    "img_plan": f"""{ctes('img_metrics')}, m AS (SELECT *, ({list(L.PRESETS)})[page_id % {len(L.PRESETS)} + 1] AS preset, ({list(L.PRESETS.values())})[page_id % {len(L.PRESETS)} + 1] AS steps FROM img_metrics)
-SELECT page_id, preset, concat_ws(',', CASE WHEN {_HAS('P')} AND (abs(skew) >= {L.SKEW_MODERATE} OR boxed) THEN 'perspective' END, CASE WHEN {_HAS('D')} AND abs(skew) >= {L.SKEW_TRIVIAL} THEN 'deskew' END, CASE WHEN {_HAS('N')} AND noise >= {L.DENOISE_MIN} THEN 'denoise' END, CASE WHEN {_HAS('H')} THEN 'handwriting' END, CASE WHEN {_HAS('C')} AND contrast < {L.CLAHE_MAX} THEN 'clahe' END,
- CASE WHEN {_HAS('B')} AND sharpness < {L.BLUR_MAX} THEN 'blur_recovery' END, CASE WHEN {_HAS('S')} AND NOT {_HAS('B')} THEN 'sharpen' END, CASE WHEN {_HAS('T')} AND NOT {_HAS('H')} AND contrast < {L.THRESHOLD_MAX} THEN 'threshold' END, CASE WHEN {_HAS('R')} THEN 'border' END) AS steps FROM m""",
+    "img_plan": f"""{ctes('img_metrics')}, m AS (SELECT *, ({list(L.PRESETS)})[page_id % {len(L.PRESETS)} + 1] AS preset, ({[list(steps) for steps in L.PRESETS.values()]})[page_id % {len(L.PRESETS)} + 1] AS steps FROM img_metrics)
+SELECT page_id, preset, concat_ws(',', CASE WHEN {_HAS('perspective')} AND (abs(skew) >= {L.SKEW_MODERATE} OR boxed) THEN 'perspective' END, CASE WHEN {_HAS('deskew')} AND abs(skew) >= {L.SKEW_TRIVIAL} THEN 'deskew' END, CASE WHEN {_HAS('denoise')} AND noise >= {L.DENOISE_MIN} THEN 'denoise' END, CASE WHEN {_HAS('handwriting')} THEN 'handwriting' END, CASE WHEN {_HAS('clahe')} AND contrast < {L.CLAHE_MAX} THEN 'clahe' END,
+ CASE WHEN {_HAS('blur_recovery')} AND sharpness < {L.BLUR_MAX} THEN 'blur_recovery' END, CASE WHEN {_HAS('sharpen')} AND NOT {_HAS('blur_recovery')} THEN 'sharpen' END, CASE WHEN {_HAS('threshold')} AND NOT {_HAS('handwriting')} AND contrast < {L.THRESHOLD_MAX} THEN 'threshold' END, CASE WHEN {_HAS('border')} THEN 'border' END) AS steps FROM m""",
     "img_winner": f"{_WON} SELECT * FROM won",
     "eval_arms": f"{_WON} SELECT page_id, arm, round(confidence - baseline_conf, 4) AS conf_delta, {_PCT('baseline_chars', 'chars')} AS char_delta_pct, arm = winner_arm AS is_winner FROM arm_scores JOIN won USING (page_id) WHERE confidence IS NOT NULL",
     "eval_improved": f"{_WON} SELECT page_id, round(winner_conf - baseline_conf, 4) AS conf_improvement, round(winner_conf - baseline_conf, 4) > 0 AS is_improved FROM won",

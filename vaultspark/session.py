@@ -7,9 +7,11 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(name: str = "vaultspark", **conf: str) -> SparkSession:
@@ -37,5 +39,35 @@ def ship(spark: SparkSession) -> SparkSession:
 
 def scratch(spark: SparkSession) -> str:
     """A new name for a folder below spark.checkpoint.dir, which driver and executors share; where that is unset, as in tests, below a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vaultspark-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="vaultspark-")
     return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written once below scratch() and read back: for tables that a plan uses more than once."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is stored() the first time a session asks for it by this name."""
+    tables = spark.sparkContext.__dict__.setdefault("_vaultspark_tables", {})
+    if name not in tables:
+        tables[name] = stored(make())
+    return tables[name]
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Marked for broadcast if it has at most so many rows; for narrow tables."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt to all cores if its files make fewer tasks than there are: for work that is heavy beside its input."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
