@@ -1,7 +1,9 @@
 """Packing, decontamination, language and quality against plain versions, and on odd rows."""
 
 import re
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -142,3 +144,47 @@ def test_compiled_rules_equal_the_arrays(spark, sf):
 def test_long_text_is_whole(spark):
     n = {r["doc_id"]: r["q_words"] for r in quality_classifier.measured(edge(spark)).collect()}
     assert round(np.expm1(n[6])) == len(LONG.split())
+
+
+def test_languages_against_a_plain_distance(spark, sf):
+    """Profiles and distances by hand, on whole texts."""
+    def grams(text):
+        out, word = Counter(), ""
+        for c in [*text, " "]:
+            if unicodedata.category(c)[0] in "LM":
+                word += c.lower() if len(c.lower()) == 1 else c
+            elif word:
+                w = f" {word} "
+                out.update(x for n in (1, 2, 3) for x in (w[k : k + n] for k in range(len(w) - n + 1)) if x != " ")
+                word = ""
+        return out
+
+    def top(counts):
+        key = lambda x: [1 if c == " " else ord(c) for c in x]
+        return [g for g, _ in sorted(counts.items(), key=lambda e: (-e[1], _code(key(e[0]))))[: language_id.PROFILE]]
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").filter("length(text) < 4000")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    known = {lang: Counter() for _, _, lang in rows}
+    for t, lang in {(t, lang) for _, t, lang in rows if any(c.isalpha() for c in t)}:
+        known[lang].update(grams(t))
+    profiles = {lang: {g: k for k, g in enumerate(top(c))} for lang, c in sorted(known.items())}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs, language_id.learn(docs)).collect()}
+    for i, t, _ in rows:
+        mine = top(grams(t)) if any(unicodedata.category(c)[0] == "L" for c in t) else []
+        far = {lang: sum(abs(p[g] - k) if g in p else language_id.PROFILE for k, g in enumerate(mine)) for lang, p in profiles.items()}
+        best = min(far, key=lambda lang: (far[lang], lang)) if mine else "und"
+        assert got[i] == (best, pytest.approx(1 - far[best] / (language_id.PROFILE * len(mine)) if mine else 0.0))
+
+
+def _code(points):
+    out = 0
+    for p in points:
+        out = out << 21 | p
+    return out
+
+
+def test_marks_alone_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "\u0301\u0308 \u0301", None), (3, None, None), (4, "12 !", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs, language_id.learn(docs)).collect()}
+    assert got[1][0] == "en" and got[2] == got[3] == got[4] == ("und", 0.0)

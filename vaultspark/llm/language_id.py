@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,31 +26,34 @@ SAMPLE = 3000
 UNDECIDED = "und"
 
 
-def _letters() -> np.ndarray:
-    """By code point: the lower-case letter, or 0. Marks count as letters."""
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: the lower-case letter or mark, or 0; and whether it is a letter."""
     import unicodedata
 
-    out = np.zeros(0x110000, np.uint32)
-    for c in range(0x20000):
-        if unicodedata.category(chr(c))[0] in "LM":
+    out, letter = np.zeros(0x110000, np.uint32), np.zeros(0x110000, bool)
+    for c in range(0x32400):  # no letters beyond
+        kind = unicodedata.category(chr(c))[0]
+        if kind in "LM":
             low = chr(c).lower()
-            out[c] = ord(low) if len(low) == 1 else c
-    out[0x20000:0x32000] = np.arange(0x20000, 0x32000)  # ideographs
-    return out
+            out[c], letter[c] = ord(low) if len(low) == 1 else c, kind == "L"
+    return out, letter
 
 
-_TABLE: list[np.ndarray] = []
+_TABLE: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def _table() -> np.ndarray:
+def _table() -> tuple[np.ndarray, np.ndarray]:
     if not _TABLE:
         _TABLE.append(_letters())
     return _TABLE[0]
 
 
 def grams(text: str, longest: int = LONGEST) -> np.ndarray:
-    """All n-grams of a text, 21 bits a character; 0 stands for the space between words."""
-    letters = _table()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)].astype(np.int64)
+    """All n-grams of a text, 21 bits a character; 1 stands for the space between words. None if it has marks but no letter."""
+    points, (table, letter) = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), _table()
+    if not letter[points].any():
+        return np.zeros(0, np.int64)
+    letters = table[points].astype(np.int64)
     letters = np.concatenate([[0], letters, [0]])
     keep = letters > 0
     keep[1:] |= letters[:-1] > 0  # one space for a run of others
@@ -58,9 +61,10 @@ def grams(text: str, longest: int = LONGEST) -> np.ndarray:
     x = letters[keep]
     if len(x) < 2:
         return x[:0]
-    out, code = [x[x > 0]], x
+    y = np.maximum(x, 1)  # a space in a code is 1, so that " ab" is not "ab"
+    out, code = [x[x > 0]], y
     for n in range(2, longest + 1):
-        code = (code[:-1] << 21) | x[n - 1 :]
+        code = (code[:-1] << 21) | y[n - 1 :]
         inner = np.ones(len(code), bool)
         for j in range(1, n - 1):
             inner &= x[j : j + len(code)] > 0
@@ -125,8 +129,9 @@ def learn(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample
             yield pa.RecordBatch.from_arrays([pa.array([l] * len(codes), pa.string()), pa.array(codes), pa.array(n)], names=["l", "g", "n"])
 
     summed = chosen.mapInArrow(tidy(count), "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
-    tops = summed.groupBy("l").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "g"))), 1, size).alias("top")).orderBy("l").collect()
-    profiles = {r["l"]: np.array([x["g"] for x in r["top"]], np.int64) for r in tops}
+    place = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "g"))  # cut to size in each partition first
+    tops = summed.withColumn("place", place).filter(F.col("place") <= size).select("l", "place", "g").collect()
+    profiles = {l: np.array([g for _, g in sorted((r["place"], r["g"]) for r in tops if r["l"] == l)], np.int64) for l in sorted({r["l"] for r in tops})}
     known = np.unique(np.concatenate([*profiles.values(), np.zeros(0, np.int64)]))
     rank = np.full((len(profiles), len(known) + 1), -1, np.int64)
     for k, codes in enumerate(profiles.values()):
