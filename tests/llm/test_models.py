@@ -1,6 +1,7 @@
 """Outliers, shards, the language model and the pipeline."""
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -84,6 +85,26 @@ def test_a_hot_group_is_split(spark):
     check_shards(rows, 8)
 
 
+def test_texts_of_a_hot_slot_stay_together(spark):
+    """One slot for all: texts are dealt by text, and only one that alone exceeds a shard's share by id."""
+    docs = spark.createDataFrame([(k, "the hot text " * 40) for k in range(300)] + [(k, f"text {k // 3} " * 30) for k in range(300, 1500)], "doc_id long, text string")
+    rows = sharding.shard(docs, 6, slots=1).collect()
+    where, sizes = {}, Counter()
+    for r in rows:
+        where.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
+        sizes[r["shard"]] += r["size"]
+    split = [k for k, v in where.items() if len(v) > 1]
+    assert len(split) == 1 and split[0][1] == 13 * 40 + 8 and max(sizes.values()) < 1.4 * min(sizes.values())
+    check_shards(rows, 6)
+
+
+def test_sizes_and_checksums_against_plain_python(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(edge(spark).select("doc_id", "text").filter("doc_id < 9").withColumn("doc_id", F.col("doc_id") + 10**6).dropDuplicates())
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    got = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in sharding.shard(docs, 4).collect()}
+    assert got == {i: (len(t) + 8, zlib.crc32(t)) for i, t in text.items()}
+
+
 def test_slot_map_versions(spark, tmp_path):
     draw = np.random.default_rng(3)
     sizes = {(s, 0): int(x) for s, x in enumerate(draw.integers(1, 1000, 512))}
@@ -97,13 +118,29 @@ def test_slot_map_versions(spark, tmp_path):
     for m in (one, three):
         m.save(spark, str(tmp_path / "map"))
     assert sharding.SlotMap.load(spark, str(tmp_path / "map")) == three and sharding.SlotMap.load(spark, str(tmp_path / "map"), 1) == one
+    with pytest.raises(ValueError):
+        three.save(spark, str(tmp_path / "map"))
+
+
+def test_a_stored_map_places_records_that_it_was_not_fitted_to(spark, tmp_path):
+    few = spark.createDataFrame([(k, f"early {k}") for k in range(200)] + [(k, "hot " * 500) for k in range(200, 260)], "doc_id long, text string")
+    many = spark.createDataFrame([(k, f"later {k} " * 20) for k in range(1000)] + [(k, "hot " * 500) for k in range(1000, 1050)], "doc_id long, text string")
+    sharding.shard(few, 5, map_path=str(tmp_path / "map")).count()
+    old = sharding.SlotMap.load(spark, str(tmp_path / "map"))
+    rows = sharding.assign(many, old).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(1050))
+    check_shards(rows, 5)
+    sizes = {e: x[0] for e, x in sharding.summed(sharding.records(many), old).items()}
+    new = old.grow(sizes)
+    grown = {r["doc_id"]: r["shard"] for r in sharding.assign(many, new).collect()}
+    assert len(grown) == 1050 and all(grown[r["doc_id"]] in (r["shard"], 5) for r in rows) and 5 in grown.values()
 
 
 def test_shards_of_odd_rows(spark):
     rows = sharding.shard(edge(spark), 3).collect()
     assert len(rows) == 13
     check_shards(rows, 3)
-    assert sharding.shard(none(spark), 3).count() == 0
+    assert sharding.shard(none(spark), 3).count() == 0 and sharding.assign(none(spark), sharding.fitted({}, 3)).count() == 0
 
 
 def plain_base(docs, out):

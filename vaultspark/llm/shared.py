@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new name below spark.checkpoint.dir; where that is unset, as in tests, below a temporary folder."""
+    """A new name below spark.checkpoint.dir; where that is unset, on one machine as in tests, below a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = getattr(folder, "own", None) or tempfile.mkdtemp(prefix="vaultspark-")
         folder.own = base
