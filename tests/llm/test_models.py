@@ -186,6 +186,55 @@ def test_a_score_does_not_depend_on_the_texts_beside_it():
         assert recurrent_lm.log_probability(m, t, np.array([0, len(t)]), share[: len(t)])[0] == pytest.approx(every[k], rel=1e-4)
 
 
+def test_scores_against_a_plain_forward_pass():
+    """Word by word in float64, with the definitions of the gates."""
+    draw = np.random.default_rng(9)
+    texts = [draw.integers(1, 60, n).astype(np.uint64) << np.uint64(4) | draw.integers(0, 16, n).astype(np.uint64) for n in (0, 1, 7, 40, 300)]
+    m = recurrent_lm.train(texts, vocabulary=25, epochs=2, lanes=3)
+    ids, first = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    share = draw.normal(-3, 1, len(ids))
+    got = recurrent_lm.log_probability(m, ids, first, share)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    softmax = lambda v: v - np.log(np.exp(v - v.max()).sum()) - v.max()
+    inputs, turn, out, bias = (v.astype(float) for v in (m.inputs, m.turn, m.out, m.bias))
+    width, n = turn.shape[0], len(m.ids)
+    for t, text in enumerate(texts):
+        h, row, total = np.zeros(width), n + recurrent_lm.ENDINGS, 0.0
+        for k in range(len(text) + 1):
+            g, u = inputs[row], h @ turn
+            z, r = sigmoid(g[:width] + u[:width]), sigmoid(g[width : 2 * width] + u[width : 2 * width])
+            h = (1 - z) * np.tanh(g[2 * width :] + r * u[2 * width :]) + z * h
+            classes = softmax(h @ out + bias)
+            if k == len(text):
+                total += classes[0]
+                break
+            known, ending = np.flatnonzero(m.ids == text[k]), int(text[k]) & 15
+            if len(known):
+                row = int(known[0])
+                own = m.words[m.cls[row]].astype(float)
+                total += classes[m.cls[row]] + softmax(h @ own[:-1] + own[-1])[m.place[row]]
+            else:
+                row = n + ending
+                total += classes[len(bias) - recurrent_lm.ENDINGS + ending] + share[first[t] + k]
+        assert got[t] == pytest.approx(total, rel=1e-4, abs=1e-3)
+
+
+def test_training_takes_long_texts_in_pieces_and_all_cells(spark, monkeypatch):
+    """No text is left out for its length, words stay whole, and models of many cells are averaged."""
+    monkeypatch.setattr(recurrent_lm, "PIECE", 200)
+    monkeypatch.setattr(recurrent_lm, "CELL", 2000)
+    docs = [(k, " ".join(f"w{(7 * k + j) % 50}" for j in range(30 + 400 * (k % 5 == 0)))) for k in range(40)]
+    rows = spark.createDataFrame([(i, t, True) for i, t in docs], "id long, text string, train boolean")
+    got = recurrent_lm._pieces(rows, 1.0).collect()
+    assert Counter(w for r in got for w in r["text"].split()) == Counter(w for _, t in docs for w in t.split()) and max(len(r["text"]) for r in got) <= 200
+    total = lambda: [r["score"] for r in recurrent_lm.score(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") >= 30).collect()]
+    fitted = total()
+    monkeypatch.setattr(recurrent_lm, "EPOCHS", 0)
+    assert len(fitted) == 40 and sum(fitted) > sum(total())
+    part = recurrent_lm._pieces(rows, 0.5).count()
+    assert 0.3 * len(got) < part < 0.7 * len(got)
+
+
 def test_class_probabilities_sum_to_one():
     m = recurrent_lm.train([np.arange(1, 60, dtype=np.uint64) << np.uint64(4)] * 3, vocabulary=30, epochs=1, lanes=2)
     known = m.ids
