@@ -45,6 +45,46 @@ def test_outliers_go_and_others_stay(spark):
     assert not got[100] and not got[101] and all(got[k] for k in range(60))
 
 
+def test_distances_against_numpy(spark):
+    """Starts, concentration steps and the least determinant by hand, for two groups of which one has outliers that lie together."""
+    draw = np.random.default_rng(4)
+    rows = [(k, "en" if k % 2 else None, "s", *draw.normal([1.6, 0.1, 0.1, 0.1, 0.2], [0.3, 0.1, 0.2, 0.15, 0.1]).tolist()) for k in range(400)]
+    rows += [(400 + k, "en", "s", *draw.normal([3.0, 1.0, 0.1, 0.1, 0.9], 0.05).tolist()) for k in range(40)]
+    z = list(outlier_rules.SCALE)
+    df = spark.createDataFrame(rows, "k long, lang string, source string, " + ", ".join(f"{c} double" for c in z))
+    found = outlier_rules.estimates(df, ["lang", "source"], z)
+    got = {r["k"]: r["d2"] for r in outlier_rules._distance(df, found, ["lang", "source"], z).collect()}
+    least = np.array([outlier_rules.SCALE[c] for c in z])
+    wide = outlier_rules.CORE / outlier_rules.chi2(outlier_rules.chi2_quantile(outlier_rules.CORE, 5), 7)
+    nth = lambda v, q: np.sort(v)[max(int(np.ceil(q * len(v))) - 1, 0)]
+    for lang in ("en", None):
+        ks = [r[0] for r in rows if r[1] == lang]
+        x = np.array([r[3:] for r in rows if r[1] == lang])
+        q = np.array([nth(c, 0.5) for c in x.T])
+        u = np.abs(x - q) / np.maximum(1.4826 * np.array([nth(c, 0.5) for c in np.abs(x - q).T]), least)
+        best = None
+        for d in ((u**2).sum(1), u.max(1), np.zeros(len(x))):
+            last = None
+            for _ in range(outlier_rules.STEPS):
+                own = x[d <= nth(d, outlier_rules.CORE)]
+                mean, cov = own.mean(0), np.cov(own.T, bias=True) * wide + np.diag(least**2)
+                det = np.linalg.slogdet(cov)[1]
+                d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+                best = min([b for b in (best, (det, d.tolist())) if b is not None])
+                if last is not None and det >= last - outlier_rules.FALL:
+                    break
+                last = det
+        assert [got[k] for k in ks] == pytest.approx(best[1], rel=1e-6)
+    assert min(got[k] for k in range(400, 440)) > 3 * max(got[k] for k in range(400))
+
+
+def test_a_long_text_among_others(spark):
+    long = " ".join(f"w{k}" for k in range(20_000))
+    docs = spark.createDataFrame([(k, "en", "s", long if k == 7 else " ".join(f"t{k}x{j}" for j in range(60))) for k in range(20)], "doc_id long, lang string, source string, text string")
+    got = {r["doc_id"]: r for r in outlier_rules.judge(docs).collect()}
+    assert (got[7]["n_words"], got[7]["word_chars"], got[7]["n_repeat_words"], got[7]["base_failed"]) == base(long)[:2] + base(long)[4:]
+
+
 def test_chi_squared():
     assert outlier_rules.chi2(outlier_rules.chi2_quantile(0.95, 5), 5) == pytest.approx(0.95)
     assert outlier_rules.chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)

@@ -1,10 +1,12 @@
 """Quality rules: robust multivariate outliers.
 
 Statistics of each text are transformed into a vector, and for each language
-and source the minimum covariance determinant is estimated: from a robust
-start (medians and median deviations) the mean and covariance of the closest
-three quarters of the vectors are taken again and again (concentration
-steps), which never raises the determinant. A vector far from its group's
+and source the minimum covariance determinant is estimated: from each of
+several starts the mean and covariance of the closest three quarters of the
+vectors are taken again and again (concentration steps) until the determinant
+falls no more, and the estimate of least determinant wins. A fixed least
+variance is added to each diagonal before the determinant is taken, so that
+groups of few rows or without spread have one, too. A vector far from its group's
 centre by Mahalanobis distance is rejected. All of it is DataFrame
 operations; groups are aggregated partially before any shuffle.
 """
@@ -20,9 +22,10 @@ from pyspark.sql import functions as F
 from vaultspark.llm.shared import written
 from vaultspark.llm.textvec import quoted
 
-#: Part of a group that the estimate is made of, concentration steps, and the chi-squared level beyond which a vector is rejected.
+#: Part of a group that the estimate is made of, the fall of a log determinant that asks for another concentration step, the most steps of a start, and the chi-squared level beyond which a vector is rejected.
 CORE = 0.75
-STEPS = 3
+FALL = 1e-3
+STEPS = 12
 LEVEL = 0.99
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SPACE = r"[\x20\x09-\x0D]"
@@ -96,7 +99,7 @@ def chi2_quantile(level: float, p: int) -> float:
 
 
 def _moments(rows: DataFrame, by: list[str], z: list[str], weight: Column) -> DataFrame:
-    """Per group: means and the lower Cholesky factor of the covariance of the rows that weight is true for, with the least deviations on its diagonal."""
+    """Per group: means and the lower Cholesky factor of the covariance of the rows that weight is true for, with the least deviations on its diagonal, and the log of its determinant."""
     def over(x: Column) -> Column:
         return F.avg(F.when(weight, x))
 
@@ -111,7 +114,8 @@ def _moments(rows: DataFrame, by: list[str], z: list[str], weight: Column) -> Da
             for k in range(j):
                 rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             found = found.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l_{j}_{j}"))
-    return found.select(*by, *(f"m_{i}" for i in range(p)), *(f"l_{i}_{j}" for i in range(p) for j in range(i + 1)))
+    determinant = 2 * sum((F.log(f"l_{i}_{i}") for i in range(p)), F.lit(0.0))
+    return found.select(*by, *(f"m_{i}" for i in range(p)), *(f"l_{i}_{j}" for i in range(p) for j in range(i + 1)), determinant.alias("log_det"))
 
 
 def _joined(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
@@ -125,7 +129,7 @@ def _joined(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
 
 def _distance(rows: DataFrame, groups: DataFrame, by: list[str], z: list[str]) -> DataFrame:
     """Rows with their squared Mahalanobis distance d2."""
-    out, own = _joined(rows, groups, by), groups.columns[len(by) :]
+    out, own = _joined(rows, groups.drop("log_det"), by), [c for c in groups.columns if c not in (*by, "log_det")]
     for i, a in enumerate(z):
         y = F.col(a) - F.col(f"m_{i}")
         for k in range(i):
@@ -134,7 +138,36 @@ def _distance(rows: DataFrame, groups: DataFrame, by: list[str], z: list[str]) -
     return out.withColumn("d2", sum((F.col(f"y_{i}") ** 2 for i in range(len(z))), F.lit(0.0))).drop(*own, *(f"y_{i}" for i in range(len(z))))
 
 
-def judge(docs: DataFrame, *, text: str = "text", by: Sequence[str] = ("lang", "source"), keep: Sequence[str] = ("doc_id",), steps: int = STEPS, level: float = LEVEL) -> DataFrame:
+def estimates(sound: DataFrame, by: list[str], z: list[str]) -> DataFrame:
+    """The centre and spread (as _moments has them) of least determinant of each group.
+
+    Starts: the vectors closest to the medians, in median deviations, by the
+    sum of squares and by the greatest one, and all vectors. A step never
+    raises a group's determinant by more than its approximate quantile does; each
+    start goes on while it falls for any group, and every step's estimate is a
+    candidate (a row a group).
+    """
+    middle = written(sound.groupBy(*by).agg(*(F.percentile_approx(a, 0.5, 1000).alias(f"q_{a}") for a in z)))
+    spread = _joined(sound, middle, by)
+    away = written(spread.groupBy(*by).agg(*(F.max(f"q_{a}").alias(f"q_{a}") for a in z), *(F.percentile_approx(F.abs(F.col(a) - F.col(f"q_{a}")), 0.5, 1000).alias(f"s_{a}") for a in z)))
+    off = [F.abs(F.col(a) - F.col(f"q_{a}")) / F.greatest(1.4826 * F.col(f"s_{a}"), F.lit(SCALE[a])) for a in z]
+    scaled = _joined(sound, away, by)
+    found = None
+    for start in (sum((u**2 for u in off), F.lit(0.0)), F.greatest(*off), F.lit(0.0)):
+        near, last = scaled.withColumn("d2", start).select(*by, *z, "d2"), None
+        for _ in range(STEPS):
+            cut = written(near.groupBy(*by).agg(F.percentile_approx("d2", CORE, 1000).alias("cut")))
+            groups = written(_moments(_joined(near, cut, by), by, z, F.col("d2") <= F.col("cut")))
+            found = groups if found is None else found.unionByName(groups)
+            if last is not None and _joined(groups, last.select(*by, F.col("log_det").alias("was")), by).filter(F.col("log_det") < F.col("was") - FALL).isEmpty():
+                break
+            near, last = _distance(sound, groups, by, z), groups
+    rest = [c for c in found.columns if c not in by]
+    best = found.groupBy(*by).agg(F.min(F.struct("log_det", *(c for c in rest if c != "log_det"))).alias("b"))
+    return written(best.select(*by, *(F.col(f"b.{c}") for c in rest if c != "log_det")))
+
+
+def judge(docs: DataFrame, *, text: str = "text", by: Sequence[str] = ("lang", "source"), keep: Sequence[str] = ("doc_id",), level: float = LEVEL) -> DataFrame:
     """Base counts, base_failed, d2 (squared distance from the group's centre) and kept, for each document.
 
     base_failed: under 10 words, or over 20 % of words in repeated 5-word
@@ -148,16 +181,7 @@ def judge(docs: DataFrame, *, text: str = "text", by: Sequence[str] = ("lang", "
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = written(vectors(stats).withColumn("base_failed", failed))
     sound = rows.filter(~F.col("base_failed")).select(*by, *z)
-    middle = written(sound.groupBy(*by).agg(*(F.percentile_approx(a, 0.5, 1000).alias(f"q_{a}") for a in z)))
-    spread = _joined(sound, middle, by)
-    away = written(spread.groupBy(*by).agg(*(F.max(f"q_{a}").alias(f"q_{a}") for a in z), *(F.percentile_approx(F.abs(F.col(a) - F.col(f"q_{a}")), 0.5, 1000).alias(f"s_{a}") for a in z)))
-    start = sum((((F.col(a) - F.col(f"q_{a}")) / F.greatest(1.4826 * F.col(f"s_{a}"), F.lit(SCALE[a]))) ** 2 for a in z), F.lit(0.0))
-    near = _joined(sound, away, by).withColumn("d2", start).select(*by, *z, "d2")
-    for _ in range(steps):
-        cut = written(near.groupBy(*by).agg(F.percentile_approx("d2", CORE, 1000).alias("cut")))
-        groups = written(_moments(_joined(near, cut, by), by, z, F.col("d2") <= F.col("cut")))
-        near = _distance(sound, groups, by, z)
-    far = _distance(rows, groups, by, z)
+    far = _distance(rows, estimates(sound, by, z), by, z)
     d2 = F.when(~F.col("base_failed"), F.col("d2"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= chi2_quantile(level, len(z)))
     return far.select(*(quoted(c) for c in keep), *BASE, "base_failed", kept.alias("kept"), d2.alias("d2"))
