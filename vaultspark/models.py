@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vaultspark import lexicons as L
+
 #: Replies that are worth another try, and the seconds to wait before each (fixed values).
 TRANSIENT = ("503", "429", "UNAVAILABLE", "RESOURCE_EXHAUSTED", "overloaded")
 WAITS = (5, 15, 30)
@@ -28,6 +30,8 @@ class Provider(Protocol):
     def generate(self, prompts: list[str]) -> list[str]: ...
     def score(self, pairs: list[tuple[str, str]]) -> list[float]: ...
     def read(self, images: list[bytes]) -> list[tuple[str, float]]: ...
+    def look(self, images: list[bytes], prompts: list[str]) -> list[str]: ...
+    def match(self, images: list[bytes], phrases: list[str]) -> list[list[float]]: ...
 
 
 class Offline:
@@ -56,6 +60,24 @@ class Offline:
         return [("", 0.0)] * len(images)
 
 
+    def look(self, images: list[bytes], prompts: list[str]) -> list[str]:
+        return [f" seen {len(x)} bytes " for x in images]
+
+    def match(self, images: list[bytes], phrases: list[str]) -> list[list[float]]:
+        return [[int(hashlib.md5(x + b"|" + p.encode()).hexdigest()[:4], 16) / 65535 for p in phrases] for x in images]
+
+
+def insistent(call: Callable, *args, waits: tuple[int, ...] = L.PAGE_WAITS, other=None, sleep: Callable[[float], None] = time.sleep):
+    """call(*args), tried again after any error; other once the waits are used up."""
+    for wait in (*waits, None):
+        try:
+            return call(*args)
+        except Exception:
+            if wait is None:
+                return other
+            sleep(wait)
+
+
 def patient(call: Callable, *args, sleep: Callable[[float], None] = time.sleep):
     """call(*args), tried again after transient errors."""
     for wait in (*WAITS, None):

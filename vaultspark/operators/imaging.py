@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultspark import lexicons as L
+from vaultspark import models
 from vaultspark.functions.strings import lookup, rx
 
 
@@ -27,6 +31,33 @@ def modality(path: Column) -> Column:
     return out.otherwise("unknown_scan")
 
 
+def scan_prompt(kind: Column) -> Column:
+    """What a vision model is asked of a scan, by its modality, or by default."""
+    return F.concat(lookup(kind, L.SCAN_PROMPTS, L.DEFAULT_SCAN_PROMPT), F.lit(L.SCAN_RULE))
+
+
+def describe(images: DataFrame, provider, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """image_id, modality and description of scans (image_id, path, image): three attempts each, "" where all fail."""
+    def run(batches):
+        for pdf in batches:
+            found = [models.insistent(lambda x=x, p=p: provider.look([x], [p])[0].strip(), other="", sleep=sleep) for x, p in zip(map(bytes, pdf["image"]), pdf["prompt"], strict=True)]
+            yield pd.DataFrame({"image_id": pdf["image_id"], "modality": pdf["modality"], "description": found})
+
+    asked = images.withColumn("modality", modality(F.col("path"))).withColumn("prompt", scan_prompt(F.col("modality")))
+    return asked.select("image_id", "modality", "prompt", "image").mapInPandas(run, "image_id long, modality string, description string")
+
+
+def score_phrases(images: DataFrame, provider) -> DataFrame:
+    """image_id, ordinal, phrase and score (to four places) of chest radiographs (image_id, path, image) against the fixed phrases; others have no rows."""
+    def run(batches):
+        for pdf in batches:
+            rows = [(i, k, p, round(float(s), 4)) for i, scores in zip(pdf["image_id"], provider.match([bytes(x) for x in pdf["image"]], L.CHEST_PHRASES), strict=True) for k, (p, s) in enumerate(zip(L.CHEST_PHRASES, scores, strict=True))]
+            yield pd.DataFrame(rows, columns=["image_id", "ordinal", "phrase", "score"])
+
+    chest = images.filter(modality(F.col("path")) == "chest_xray")
+    return chest.select("image_id", "image").mapInPandas(run, "image_id long, ordinal int, phrase string, score double")
+
+
 def findings(scores: DataFrame, described: DataFrame) -> DataFrame:
     """image_id, is_abnormal, abnormal_flags (phrases from 0.22 up, normal ones aside, in order) and top_normal. scores: image_id, ordinal, phrase, score; described: image_id, description."""
     normal = F.col("phrase").isin(L.NORMAL_PHRASES)

@@ -140,6 +140,18 @@ def groups(chunks: DataFrame, order: str = "clinical") -> DataFrame:
     return per.withColumn("group_order", lookup(F.col("semantic_type"), place, 0))
 
 
+def headers(documents: DataFrame) -> DataFrame:
+    """The list of documents as it is shown: id, name, doc_type, semantic_type (of the register, by class), uploaded_by and the day of uploaded_at."""
+    return documents.select("patient_id", "id", F.col("file_name").alias("name"), "doc_type", lookup(F.col("doc_type"), L.REGISTER_SEMANTIC, "patient_information").alias("semantic_type"), "uploaded_by", F.substring(F.coalesce("uploaded_at", F.lit("")), 1, 10).alias("date"))
+
+
+def dashboard(headers_: DataFrame, appointments: DataFrame) -> DataFrame:
+    """Each patient's numbers of documents, of those on medication, and of appointments."""
+    docs = headers_.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("semantic_type") == "medication_history").alias("n_medication"))
+    met = docs.join(appointments.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_appointments")), "patient_id", "full")
+    return met.select("patient_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_documents", "n_medication", "n_appointments")))
+
+
 def dispatch(routed: DataFrame, chunks: DataFrame) -> DataFrame:
     """question_id, route and confidence. routed: question_id, patient_id, route.
 

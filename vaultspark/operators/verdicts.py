@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultspark import lexicons as L
+from vaultspark import models
 from vaultspark.functions.strings import rx, strip
 
 
@@ -37,3 +38,12 @@ def supported(raw: Column) -> Column:
     """Whether a one-word verdict says so and not its opposite."""
     up = F.upper(raw)
     return F.contains(up, F.lit("SUPPORTED")) & ~F.contains(up, F.lit("NOT SUPPORTED"))
+
+
+def verify_answers(answers: DataFrame, provider) -> DataFrame:
+    """question_id, verified and explanation of answers (question_id, answer, context); those without either are not sent to the model."""
+    full = (F.coalesce("answer", F.lit("")) != "") & (F.coalesce("context", F.lit("")) != "")
+    prompt = F.concat(F.lit(L.VERIFY_PROMPT + "\n\nCONTEXT:\n"), "context", F.lit("\n\nANSWER:\n"), "answer")
+    asked = models.ask(answers.filter(full).select("question_id", prompt.alias("prompt")), provider)
+    judged = asked.select("question_id", verification(F.col("reply")).alias("v")).select("question_id", "v.verified", "v.explanation")
+    return judged.unionByName(answers.filter(~full).select("question_id", F.lit(False).alias("verified"), F.lit(L.VERIFY_SKIPPED).alias("explanation")))

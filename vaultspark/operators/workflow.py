@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultspark import lexicons as L
+from vaultspark import models
 from vaultspark.functions.strings import filled, first_match, holds_all, lookup, rx, word_set
 from vaultspark.functions.validators import has_registration, insurance_score, national_id_valid, tax_holder_valid
+from vaultspark.operators import verdicts
 
 
 def taken_on(status: Column) -> Column:
@@ -226,6 +228,38 @@ def derived(admissions: DataFrame, checked: DataFrame, documents: DataFrame) ->
     return met.withColumn("__r", decided).select("admission_id", lookup(F.col("parent"), parents, "").alias("item_key"), "__r.*").withColumn("escalate", F.col("explanation").isNull())
 
 
+def match_prompts(admissions: DataFrame, found: DataFrame, documents: DataFrame) -> DataFrame:
+    """admission_id, item_key and the prompt of each derived check that the rules leave open."""
+    slots = {"identity_name_match": "identity", "insurance_policy_match": "insurance_policy", "diagnosis_match": "medical_doc"}
+    docs = documents.select("admission_id", F.col("slot").alias("__slot"), F.coalesce("text", F.lit("")).alias("__text"), F.col("diagnosis").alias("__diagnosis"))
+    open_ = found.filter("escalate").select("admission_id", "item_key", lookup(F.col("item_key"), slots, "").alias("__slot"))
+    met = open_.join(admissions, "admission_id").join(docs, ["admission_id", "__slot"])
+    number, text = F.col("preauth.policy_number"), F.substring("__text", 1, 1000)
+    there = F.contains(F.lower("__text"), F.lower(filled(number)))
+    on_form = F.when(F.col("item_key") == "identity_name_match", F.col("patient_name")).when(F.col("item_key") == "insurance_policy_match", F.concat(number, F.when(there, " (found in the document, which names no insurer or policy terms)").otherwise(" (not found as such in the document)"))).otherwise(F.col("admission_reason"))
+    read = F.when(F.col("item_key") == "diagnosis_match", F.coalesce(filled(F.col("__diagnosis")), F.substring("__text", 1, 500))).otherwise(text)
+    prompt = F.concat(lookup(F.col("item_key"), L.MATCH_PROMPTS, ""), F.lit(L.MATCH_REPLY + "\n\nFORM:\n"), on_form, F.lit("\n\nDOCUMENT:\n"), read)
+    return met.select("admission_id", "item_key", prompt.alias("prompt"))
+
+
+def judged(admissions: DataFrame, found: DataFrame, documents: DataFrame, provider) -> DataFrame:
+    """The derived checks with a model's verdict on those that the rules leave open; an unreadable one needs review."""
+    asked = models.ask(match_prompts(admissions, found, documents), provider)
+    said = asked.select("admission_id", "item_key", verdicts.verdict(F.col("reply")).alias("v")).select("admission_id", "item_key", F.col("v.verdict").alias("verdict"), F.col("v.explanation").alias("note"))
+    return with_verdicts(found, said)
+
+
+def set_status(appointments: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
+    """request_id, id, outcome (invalid for a status that can't be set by hand, not_found, or ok) and the appointment's status, started_at and completed_at after it. requests: request_id, id, status; one for each appointment."""
+    rows = appointments.select("id", F.col("status").alias("__old"))
+    met = requests.join(rows, "id", "left")
+    outcome = F.when(~F.col("status").isin(L.SETTABLE), "invalid").when(F.col("__old").isNull(), "not_found").otherwise("ok")
+    ok = F.col("outcome") == "ok"
+    stamp = lambda s: F.when(ok & (F.col("asked") == s), now)
+    done = met.select("request_id", "id", F.col("status").alias("asked"), "__old", outcome.alias("outcome"))
+    return done.select("request_id", "id", "outcome", F.when(ok, F.col("asked")).otherwise(F.col("__old")).alias("status"), stamp("in_consultation").alias("started_at"), stamp("completed").alias("completed_at"))
+
+
 def admission_status(admissions: DataFrame, checklist: DataFrame) -> DataFrame:
     """admission_id and status: ready for payment once every item is verified; later states stay."""
     done = checklist.groupBy("admission_id").agg(F.bool_and(F.col("status") == "verified").alias("__all"))

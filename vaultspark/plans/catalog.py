@@ -38,12 +38,19 @@ def hits(s: SparkSession, d: str) -> DataFrame:
     return stored(found.join(chunks.select("chunk_id", "file_name", "doc_type", "semantic_type", "visit_date"), "chunk_id"))
 
 
+def registered(s: SparkSession, d: str) -> DataFrame:
+    """Notes as the register of documents has them."""
+    kinds = F.array(*(F.lit(k) for k in ("prescription", "imaging_scan", "admission_intake", "lab_report", "unknown")))
+    k = F.col("note_id")
+    return view(s, d, "notes").select("patient_id", k.alias("id"), "file_name", F.get(kinds, (k % 5).cast("int")).alias("doc_type"), F.when(k % 2 == 0, "patient").otherwise("doctor").alias("uploaded_by"), F.when(k % 7 != 0, F.concat(F.lit("2024-03-0"), (k % 9 + 1).cast("string"), F.lit("T10:00:00"))).alias("uploaded_at"))
+
+
 # -- text ----------------------------------------------------------------------------
 
 
 @query
 def tokenize_counts(s, d):
-    return text.token_counts(view(s, d, "documents")).select("doc_id", "n_tokens", "n_distinct")
+    return text.token_counts(view(s, d, "documents")).select("doc_id", "n_tokens", "n_distinct", "n_words")
 
 
 @query
@@ -172,11 +179,70 @@ def update_rows(s, d):
 
 @query
 def page_join(s, d):
-    pages = view(s, d, "words").select(F.concat(F.lit("f"), (F.col("page_id") % 500).cast("string")).alias("file_path"), F.col("at").alias("page"), F.when(F.col("at") % 3 > 0, F.col("word")).alias("text")).dropDuplicates(["file_path", "page"])
-    joined = files.join_pages(pages.groupBy("file_path", "page").agg(F.max("text").alias("text")))
+    words = view(s, d, "words").select(F.concat(F.lit("f"), (F.col("page_id") % 500).cast("string")).alias("file_path"), F.col("at").alias("page"), F.when(F.col("at") % 3 > 0, F.col("word")).alias("text"))
+    pages = words.groupBy("file_path", "page").agg(F.max("text").alias("text"))
+    joined = files.join_pages(pages)
     return joined.join(files.is_digital(pages), "file_path").select("file_path", F.length("text").alias("n_chars"), "is_digital")
 
 
+@query
+def vision_pages(s, d):
+    """Every page through the vision loop (without its pauses), then one text a file."""
+    words = view(s, d, "words").groupBy((F.col("page_id") % 500).alias("f"), F.col("at").cast("int").alias("page")).agg(F.max("word").alias("w"))
+    images = words.select(F.concat(F.lit("f"), F.col("f").cast("string")).alias("file_path"), "page", F.encode("w", "UTF-8").alias("image"))
+    return files.broken_pages(files.see_pages(images, models.Offline(), pace=0))
+
+
+@query
+def scan_describe(s, d):
+    images = view(s, d, "paths").select(F.col("id").cast("long").alias("image_id"), "path", F.encode("path", "UTF-8").alias("image"))
+    return imaging.describe(images, models.Offline())
+
+
+@query
+def scan_prompts(s, d):
+    return view(s, d, "paths").select("id", imaging.scan_prompt(imaging.modality(F.col("path"))).alias("prompt"))
+
+
+@query
+def xray_phrases(s, d):
+    paths = view(s, d, "described").select("image_id", F.concat(F.when(F.col("image_id") % 2 == 0, "a/chest-xray-").otherwise("b/mri-"), F.col("image_id").cast("string"), F.lit(".png")).alias("path"))
+    return imaging.score_phrases(paths.withColumn("image", F.encode("path", "UTF-8")), models.Offline()).filter("ordinal < 3")
+
+
+@query
+def split_bars(s, d):
+    packed = F.concat(F.lit(" | "), F.col("type"), F.lit(" |"), F.coalesce("checked_in_at", F.lit("")), F.lit("|  | "), F.col("status"), F.lit("|"))
+    return strings.exploded(view(s, d, "appts").select("id", strings.split_pipe(packed).alias("parts")), "parts", "at", "part").select("id", "at", "part")
+
+
+@query
+def document_headers(s, d):
+    return vault.headers(registered(s, d))
+
+
+@query
+def patient_dashboard(s, d):
+    return vault.dashboard(vault.headers(registered(s, d)), view(s, d, "appts"))
+
+
+@query
+def sink_append(s, d):
+    path, rows = scratch(s), view(s, d, "appts").select("id", "status")
+    for part in (0, 1):
+        sinks.append(rows.filter(F.col("id") % 2 == part), path, "status")
+    return s.read.parquet(path).select("id", "status")
+
+
+@query
+def sink_reports(s, d):
+    path, rows = scratch(s), view(s, d, "arm_scores").select("page_id", "arm", "confidence", "chars").filter("confidence is not null")
+    sinks.csv(rows, f"{path}/csv", ["page_id", "arm", "chars"])
+    sinks.json(rows.select("page_id", "arm", "confidence"), f"{path}/json")
+    table = s.read.option("header", True).schema("page_id long, arm string, chars long").csv(f"{path}/csv")
+    return table.join(s.read.schema("page_id long, arm string, confidence double").json(f"{path}/json"), ["page_id", "arm"])
+
+
 @query
 def upload_route(s, d):
     return view(s, d, "paths").select("id", imaging.pipeline_of(F.element_at(F.split("path", "/"), -1)).alias("pipeline"))
@@ -210,6 +276,12 @@ def query_route(s, d):
     return questions.route(view(s, d, "asked")).select("question_id", "query_class", "route")
 
 
+@query
+def answer_verification(s, d):
+    answers = view(s, d, "asked").select("question_id", F.when(F.length("question") % 3 > 0, F.col("question")).alias("answer"), F.when(F.length("question") % 2 == 0, "context").otherwise("").alias("context"))
+    return verdicts.verify_answers(answers, models.Offline())
+
+
 @query
 def agent_dispatch(s, d):
     routes = F.array(*(F.lit(r) for r in ("timeline_agent", "admission_agent", "medication_agent", "allergy_agent", "surgery_agent", "rag_agent")))
@@ -449,6 +521,29 @@ def adm_verdicts(s, d):
     return workflow.with_verdicts(checked(s, d), judged).select("admission_id", "item_key", "tier", "status", "explanation")
 
 
+@query
+def adm_model_verdicts(s, d):
+    documents = workflow.slot_documents(view(s, d, "adm_docs"))
+    found = stored(workflow.derived(admissions(s, d), checked(s, d), documents))
+    return workflow.judged(admissions(s, d), found, documents, models.Offline()).select("admission_id", "item_key", "tier", "status", "explanation")
+
+
+@query
+def status_update(s, d):
+    wanted = F.array(*(F.lit(x) for x in ("accepted", "checked_in", "in_consultation", "completed", "gone")))
+    asked = view(s, d, "appts").filter("id % 3 = 0").select(F.col("id").alias("request_id"), F.when(F.col("id") % 4 == 0, -F.col("id")).otherwise(F.col("id")).alias("id"), F.get(wanted, (F.col("id") % 5).cast("int")).alias("status"))
+    return workflow.set_status(view(s, d, "appts"), asked, F.lit("2024-01-01T09:00:00"))
+
+
+@query
+def patients_listed(s, d):
+    """What a doctor sees whatever the hospital, what a hospital sees, and what all see."""
+    tables = view(s, d, "appts"), view(s, d, "users"), view(s, d, "staff")
+    listed = {"doctor": workflow.patients(*tables, doctor_id=3, hospital="FRANCE"), "hospital": workflow.patients(*tables, hospital="FRANCE"), "all": workflow.patients(*tables)}
+    parts = [rows.select(F.lit(k).alias("caller"), "id", "name") for k, rows in listed.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def adm_status(s, d):
     return workflow.admission_status(view(s, d, "adm"), view(s, d, "checklist"))
@@ -573,6 +668,16 @@ def img_plan(s, d):
     return m.select("page_id", "preset", F.array_join(imaging.plan(F.col("preset"), F.col("sharpness"), F.col("noise"), F.col("contrast"), F.col("skew"), F.col("boxed")), ",").alias("steps"))
 
 
+@query
+def img_parameters(s, d):
+    from vaultspark import lexicons
+
+    presets = F.array(*(F.lit(p) for p in lexicons.PRESETS))
+    m = view(s, d, "img_metrics").select("page_id", F.get(presets, (F.col("page_id") % len(lexicons.PRESETS)).cast("int")).alias("preset"))
+    steps = m.select("page_id", "preset", F.explode_outer(imaging.parameters(F.col("preset"))).alias("step", "values")).filter("step is not null")
+    return steps.select("preset", "step", F.explode_outer("values").alias("name", "value")).groupBy("preset", "step", "name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def img_winner(s, d):
     return imaging.winner(view(s, d, "arm_scores"))

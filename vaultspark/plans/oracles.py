@@ -56,9 +56,13 @@ FIELDED = f"""{NOTES}, nc AS MATERIALIZED {classed('notes', 'note_id')},
 nf AS MATERIALIZED (SELECT notes.*, doc_type, {_DATE} AS visit_date, {_DOCTOR} AS doctor_name, {_HOSPITAL} AS hospital, {_SURGERY} AS surgery_type, {_DIAGNOSES} AS diagnosis, CASE WHEN doc_type IN ({_KINDS}) THEN {_DRUGS} ELSE [] END AS drugs, {_ALLERGENS} AS allergens
   FROM notes JOIN nc USING (note_id))"""
 
+_REGISTER = """hd AS (SELECT patient_id, note_id AS id, file_name AS name, k AS doc_type, CASE k WHEN 'prescription' THEN 'medication_history' WHEN 'imaging_scan' THEN 'lab_reports' WHEN 'lab_report' THEN 'lab_reports' ELSE 'patient_information' END AS semantic_type,
+ CASE WHEN note_id % 2 = 0 THEN 'patient' ELSE 'doctor' END AS uploaded_by, CASE WHEN note_id % 7 <> 0 THEN '2024-03-0' || cast(note_id % 9 + 1 AS varchar) ELSE '' END AS date
+ FROM (SELECT *, ['prescription', 'imaging_scan', 'admission_intake', 'lab_report', 'unknown'][note_id % 5 + 1] AS k FROM notes))"""
+
 ORACLE: dict[str, str] = {
-    "tokenize_counts": r"""SELECT doc_id, cast(len(t) AS bigint) AS n_tokens, cast(len(list_distinct(t)) AS bigint) AS n_distinct
-FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 1) AS t FROM documents)""",
+    "tokenize_counts": r"""SELECT doc_id, cast(len(t) AS bigint) AS n_tokens, cast(len(list_distinct(t)) AS bigint) AS n_distinct, cast(len(regexp_extract_all(text, '[^\s\p{Z}\x{85}\x0B]+')) AS bigint) AS n_words
+FROM (SELECT doc_id, text, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 1) AS t FROM documents)""",
     "garbage_text": r"SELECT doc_id, len(w) = 0 OR len(list_filter(w, lambda x: length(x) <= 2)) / greatest(len(w), 1) > 0.5 AS is_garbage FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents)",
     "doc_classify": f"{NOTES} SELECT * FROM {classed('notes', 'note_id')}",
     "doc_classify_corpus": f"SELECT * FROM {classed('documents', 'doc_id')}",
@@ -114,11 +118,20 @@ CASE WHEN id = 0 THEN 'plain words' WHEN id IN (1, 2) THEN layer_text WHEN id IN
 new AS (SELECT key, max(note_id) AS note_id FROM k WHERE note_id % 2 = 1 GROUP BY 1) SELECT * FROM new UNION ALL SELECT key, min(note_id) FROM k WHERE note_id % 2 = 0 AND key NOT IN (SELECT key FROM new) GROUP BY 1""",
     "replace_file": f"{NOTES} SELECT patient_id, file_path, note_id FROM notes n WHERE note_id % 2 = 1 OR NOT EXISTS (SELECT 1 FROM notes m WHERE m.note_id % 2 = 1 AND m.patient_id = n.patient_id AND m.file_path = n.file_path)",
     "update_rows": f"{ctes('appts')} SELECT id, CASE WHEN id % 10 = 0 THEN 'completed' ELSE status END AS status, type FROM appts",
-    "page_join": f"""{ctes('words')}, p AS (SELECT 'f' || cast(page_id % 500 AS varchar) AS f, at, word FROM words), one AS (SELECT f, at, CASE WHEN at % 3 > 0 THEN max(length(word)) END AS n FROM p GROUP BY f, at),
-dup AS (SELECT f FROM p GROUP BY f, at HAVING count(DISTINCT word) > 1) SELECT 1 AS file_path WHERE false""",
+    "page_join": f"""{ctes('words')}, p AS (SELECT 'f' || cast(page_id % 500 AS varchar) AS file_path, words.at AS pg, max(CASE WHEN words.at % 3 > 0 THEN word END) AS t FROM words GROUP BY ALL),
+j AS (SELECT file_path, length(string_agg('[PAGE ' || cast(pg AS varchar) || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY pg)) AS n FROM p WHERE t IS NOT NULL GROUP BY 1)
+SELECT file_path, cast(n AS integer) AS n_chars, d AS is_digital FROM j JOIN (SELECT file_path, coalesce(sum(length(t)), 0) >= 50 AS d FROM p GROUP BY 1) USING (file_path)""",
+    "vision_pages": f"""{ctes('words')}, p AS (SELECT 'f' || cast(page_id % 500 AS varchar) AS file_path, words.at AS pg, max(word) AS w FROM words GROUP BY ALL)
+SELECT file_path, string_agg('seen ' || cast(length(w) AS varchar) || ' bytes', chr(10) || chr(10) || '[PAGE BREAK]' || chr(10) || chr(10) ORDER BY pg) AS text FROM p GROUP BY 1""",
+    "split_bars": f"""{ctes('appts')}, x AS (SELECT id, list_filter([type, coalesce(checked_in_at, ''), status], lambda y: y <> '') AS parts FROM appts)
+SELECT id, unnest(range(len(parts)))::integer AS at, unnest(parts) AS part FROM x""",
+    "document_headers": f"{NOTES}, {_REGISTER} SELECT * FROM hd",
+    "patient_dashboard": f"""{ctes('notes', 'appts')}, {_REGISTER}, x AS (SELECT patient_id, count(*) AS n_documents, count(*) FILTER (semantic_type = 'medication_history') AS n_medication FROM hd GROUP BY 1), y AS (SELECT patient_id, count(*) AS n_appointments FROM appts GROUP BY 1)
+SELECT patient_id, coalesce(n_documents, 0) AS n_documents, coalesce(n_medication, 0) AS n_medication, coalesce(n_appointments, 0) AS n_appointments FROM x FULL JOIN y USING (patient_id)""",
+    "sink_append": f"{ctes('appts')} SELECT id, status FROM appts",
+    "sink_reports": f"{ctes('arm_scores')} SELECT page_id, arm, chars::bigint AS chars, confidence FROM arm_scores WHERE confidence IS NOT NULL",
     "upload_route": f"{ctes('paths')} SELECT id, CASE WHEN regexp_matches(lower(path), '\\.(jpg|jpeg|png|bmp|tiff)$') THEN 'imaging' ELSE 'text' END AS pipeline FROM paths",
 }
-del ORACLE["page_join"]  # which of two words of a place stays is not fixed
 
 
 def _repair(e: str) -> str:
@@ -315,6 +328,11 @@ x AS (SELECT admission_id, doc, CASE parent WHEN 'identity' THEN 'identity_name_
  WHEN 'insurance_policy' THEN CASE WHEN nullif(trim(policy_number), '') IS NULL THEN '1m1:Enter your policy number in the pre-authorization form so it can be cross-checked against the document' WHEN contains(lower(text), lower(policy_number)) AND {_SCORE} >= 1 THEN '1v1:Policy number on the document matches the form' ELSE '2m1' END
  ELSE CASE WHEN nullif(trim(admission_reason), '') IS NULL THEN '2m0:Need both a medical document and a stated admission reason to compare' WHEN {_SUB(_TOLD, _WSET("coalesce(nullif(diagnosis, ''), text[1:500])"))} THEN '1v1:Stated reason matches the document''s diagnosis text' ELSE '2m1' END END AS r FROM held)
 SELECT admission_id, item_key, cast(r[1] AS integer) AS tier, CASE r[2] WHEN 'v' THEN 'verified' ELSE 'missing' END AS status, CASE WHEN r[3] = '1' THEN doc END AS source_document_id, nullif(r[5:], '') AS explanation, length(r) = 3 AS escalate FROM x""",
+    "status_update": f"""{ctes('appts')}, r AS (SELECT id AS request_id, CASE WHEN id % 4 = 0 THEN -id ELSE id END AS rid, ['accepted', 'checked_in', 'in_consultation', 'completed', 'gone'][id % 5 + 1] AS s FROM appts WHERE id % 3 = 0),
+o AS (SELECT request_id, rid, s, a.status AS old, CASE WHEN s NOT IN ('pending', 'accepted', 'declined', 'in_consultation', 'completed', 'no_show') THEN 'invalid' WHEN a.id IS NULL THEN 'not_found' ELSE 'ok' END AS outcome FROM r LEFT JOIN appts a ON a.id = rid)
+SELECT request_id, rid AS id, outcome, CASE WHEN outcome = 'ok' THEN s ELSE old END AS status, CASE WHEN outcome = 'ok' AND s = 'in_consultation' THEN '2024-01-01T09:00:00' END AS started_at, CASE WHEN outcome = 'ok' AND s = 'completed' THEN '2024-01-01T09:00:00' END AS completed_at FROM o""",
+    "patients_listed": f"""{ctes('appts', 'users', 'staff')}, t AS (SELECT DISTINCT a.patient_id, a.doctor_id, lower(hospital) AS h FROM appts a LEFT JOIN staff d ON d.id = a.doctor_id WHERE {_TAKEN})
+SELECT DISTINCT 'doctor' AS caller, u.id, name FROM users u JOIN t ON patient_id = u.id WHERE doctor_id = 3 UNION ALL SELECT DISTINCT 'hospital', u.id, name FROM users u JOIN t ON patient_id = u.id WHERE h = 'france' UNION ALL SELECT 'all', id, name FROM users""",
     "adm_status": f"{ctes('adm', 'checklist')}, d AS (SELECT admission_id, bool_and(status = 'verified') AS a FROM checklist GROUP BY 1) SELECT admission_id, CASE WHEN status IN ('in_progress', 'ready_for_payment') THEN CASE WHEN coalesce(a, false) THEN 'ready_for_payment' ELSE 'in_progress' END ELSE status END AS status, coalesce(a, false) AS all_verified FROM adm LEFT JOIN d USING (admission_id)",
     "adm_payment_gate": f"{ctes('adm', 'checklist')}, d AS (SELECT admission_id, bool_and(status = 'verified') AS a FROM checklist GROUP BY 1) SELECT admission_id, CASE WHEN coalesce(a, false) THEN 'confirmed' ELSE 'refused' END AS outcome, CASE WHEN coalesce(a, false) THEN upper(md5(admission_id)[1:8]) END AS token FROM adm LEFT JOIN d USING (admission_id)",
     "adm_redeem": f"""{ctes('adm')}, r AS (SELECT k AS request_id, CASE WHEN k % 2 = 0 THEN ' ' || lower(coalesce(token, 'none')) || ' ' ELSE 'ABCDEFGH' END AS t FROM adm)
@@ -371,3 +389,17 @@ SELECT page_id, preset, concat_ws(',', CASE WHEN {_HAS('perspective')} AND (abs(
     "eval_rank": f"{_EVAL} SELECT page_id, preset_name, place FROM rk",
     "eval_best": f"{_EVAL} SELECT page_id, preset_name, composite_score, composite_score < 0 AS negative FROM rk WHERE place = 1",
 }
+
+ORACLE |= {
+    "adm_model_verdicts": f"SELECT admission_id, item_key, tier, CASE WHEN escalate THEN 'needs_review' ELSE status END AS status, CASE WHEN escalate THEN 'No model is at hand.' ELSE explanation END AS explanation FROM ({ORACLE['adm_derived']})",
+    "answer_verification": f"{_ASKED} SELECT question_id, false AS verified, CASE WHEN length(question) % 3 > 0 AND length(question) % 2 = 0 THEN 'No model is at hand.' ELSE 'Verification skipped — answer or context is empty.' END AS explanation FROM asked",
+    "scan_describe": f"SELECT cast(id AS bigint) AS image_id, modality, 'seen ' || cast(length(path) AS varchar) || ' bytes' AS description FROM ({ORACLE['img_modality']}) JOIN ({ctes('paths')} SELECT id, path FROM paths) USING (id)",
+    "scan_prompts": f"SELECT id, CASE modality {' '.join(f'WHEN {q(k)} THEN {q(v)}' for k, v in L.SCAN_PROMPTS.items())} ELSE {q(L.DEFAULT_SCAN_PROMPT)} END || {q(L.SCAN_RULE)} AS prompt FROM ({ORACLE['img_modality']})",
+    "xray_phrases": f"""{ctes('described')}, p AS (SELECT unnest([0, 1, 2])::integer AS ordinal, unnest(['no acute cardiopulmonary abnormality', 'normal chest radiograph', 'pneumonia with consolidation']) AS phrase)
+SELECT image_id, ordinal, phrase, round(('0x' || md5('a/chest-xray-' || cast(image_id AS varchar) || '.png|' || phrase)[1:4])::integer / 65535.0::double, 4) AS score FROM described, p WHERE image_id % 2 = 0""",
+    "stream_notify": "SELECT DISTINCT user_id AS id FROM events WHERE event_id % 4 <= 1",
+    "stream_ingest": f"SELECT doc_type, semantic_type, count(*) AS n FROM ({ORACLE['chunk_dispatch']}) JOIN ({FIELDED} SELECT note_id, doc_type FROM nf) USING (note_id) GROUP BY ALL",
+    "img_parameters": f"""{ctes('img_metrics')}, m AS (SELECT ({list(L.PRESETS)})[page_id % {len(L.PRESETS)} + 1] AS preset FROM img_metrics),
+v(preset, step, name, value) AS (VALUES {', '.join(f"({q(p)}, {q(t)}, {q(n) if n else 'NULL'}, {v if n else 'NULL'}::double)" for p, steps in L.PRESETS.items() for t, values in steps.items() for n, v in (values or {None: None}).items())})
+SELECT preset, step, name, value, count(*) AS n FROM m JOIN v USING (preset) GROUP BY ALL""",
+}

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vaultspark import lexicons as L
+from vaultspark import models
 from vaultspark.functions.strings import without_bom
 
 TEXT_SUFFIXES = [".txt", ".md", ".text"]
@@ -53,11 +58,30 @@ def is_digital(pages: DataFrame, least: int = 50) -> DataFrame:
     return pages.groupBy("file_path").agg((F.sum(F.length(F.trim(F.coalesce("text", F.lit(""))))) >= least).alias("is_digital"))
 
 
-def read_text(images: DataFrame, provider) -> DataFrame:
-    """Pages (file_path, page, image) with text and confidence by the provider's reader."""
+def read_text(images: DataFrame, provider, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Pages (file_path, page, image) with text and confidence by the provider's reader; a page that three attempts fail on has neither."""
     def run(batches):
         for pdf in batches:
-            found = provider.read([bytes(x) for x in pdf["image"]])
+            found = [models.insistent(lambda x=x: provider.read([x])[0], other=("", 0.0), sleep=sleep) for x in map(bytes, pdf["image"])]
             yield pd.DataFrame([(p, n, t, round(c, 4)) for p, n, (t, c) in zip(pdf["file_path"], pdf["page"], found, strict=True)], columns=["file_path", "page", "text", "confidence"])
 
     return images.select("file_path", "page", "image").mapInPandas(run, "file_path string, page int, text string, confidence double")
+
+
+def see_pages(images: DataFrame, provider, prompt: str = L.PAGE_PROMPT, pace: float = L.PAGE_PACE, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Pages (file_path, page, image) with text by a vision model: three attempts each, a pause after each page, "" where all fail."""
+    def run(batches):
+        for pdf in batches:
+            texts = []
+            for x in map(bytes, pdf["image"]):
+                texts.append(models.insistent(lambda x=x: provider.look([x], [prompt])[0].strip(), other="", sleep=sleep))
+                sleep(pace)
+            yield pd.DataFrame({"file_path": pdf["file_path"], "page": pdf["page"], "text": texts})
+
+    return images.select("file_path", "page", "image").mapInPandas(run, "file_path string, page int, text string")
+
+
+def broken_pages(pages: DataFrame) -> DataFrame:
+    """file_path and the text of all its pages (file_path, page, text) in order, empty ones too, between page breaks."""
+    listed = pages.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("t")))).alias("l"))
+    return listed.select("file_path", F.array_join(F.transform("l", lambda x: x["t"]), L.PAGE_BREAK).alias("text"))
