@@ -1,7 +1,8 @@
 """Line, near-duplicate and passage operators against brute force."""
 
+import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import pytest
@@ -75,16 +76,47 @@ def _climb(up, x):
     yield x
 
 
+def weights_of(texts):
+    """Each text's shingles with count times 1 + ln(N / df) / ln N, by hand."""
+    grams = lambda w: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+    sets = [grams(t.split()) for t in texts]
+    df, n = Counter(g for s in sets for g in s), len(texts)
+    return [{g: c * (1 + math.log(n / df[g]) / math.log(n)) for g, c in s.items()} for s in sets]
+
+
+def weighted_jaccard(a, b):
+    both = sum(min(w, b[g]) for g, w in a.items() if g in b)
+    total = sum(a.values()) + sum(b.values()) - both
+    return both / total if total else 0.0
+
+
 def test_near_duplicates_against_brute_force(spark, sf):
-    docs = [d for d in corpus(spark, sf, 200) if d[1].split()]
+    """Classes by the weighted similarity of all pairs."""
+    docs = corpus(spark, sf, 200)
     text = " ".join(f"t{k}" for k in range(300))
     docs += [(5000 + k, " ".join(f"new{k}" if j == 17 * k else w for j, w in enumerate(text.split()))) for k in range(12)]
-    links = [(i, j) for i, j in combinations(range(len(docs)), 2) if docs[i][1] == docs[j][1] or jaccard(docs[i][1], docs[j][1]) >= 0.8]
+    sets = weights_of([t for _, t in docs])
+    links = [(i, j) for i, j in combinations(range(len(docs)), 2) if docs[i][1] == docs[j][1] or weighted_jaccard(sets[i], sets[j]) >= 0.8]
     want = {docs[k][0]: docs[r][0] for k, r in enumerate(roots(len(docs), links))}
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == want
 
 
+def test_recall_of_near_duplicates(spark):
+    """Pairs on both sides of the bound: of those whose weighted similarity reaches it, by hand, nine in ten share a class, and no others."""
+    draw = random.Random(2)
+    docs = []
+    for k in range(150):
+        base = [f"w{draw.randrange(9000)}" for _ in range(120)]
+        near = [f"n{draw.randrange(9000)}" if j in (10, 60)[: 1 + k % 2] + ((100,) if k % 3 == 0 else ()) else w for j, w in enumerate(base)]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    sets = weights_of([t for _, t in docs])
+    want = {2 * k for k in range(150) if weighted_jaccard(sets[2 * k], sets[2 * k + 1]) >= 0.8}
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    found = {2 * k for k in range(150) if got[2 * k + 1] == 2 * k}
+    assert 20 < len(want) < 150 and found <= want and len(found) >= 0.9 * len(want)
+
+
 def test_near_copies_of_one_text_that_are_not_near_each_other(spark):
     """Each copy is linked with the source only, so a leader other than the source is near none of the others."""
     base = [f"s{k}" for k in range(142)]

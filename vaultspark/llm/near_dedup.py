@@ -65,9 +65,11 @@ def frequencies(docs: DataFrame, *, cells: int = CELLS, size: int = SHINGLE, tex
     """Inverse document frequencies by cell: 1 + ln(N / df) / ln N, so from 1 to 2, over all texts.
 
     The spread is bounded so that one common passage can't outweigh, nor one
-    rare word decide, the similarity of two texts.
+    rare word decide, the similarity of two texts. A cell counts other shingles
+    besides: their expected number, which grows with the corpus, is taken off.
     """
     df = sketch.counted(docs, lambda t: weighted(t, None, size)[0], cells, text).astype(np.float64)
+    df -= (df.sum() - df) / max(cells - 1, 1)
     n = max(docs.count(), 3)
     return (1 + np.log(n / np.clip(df, 1, n)) / np.log(n)).astype(np.float32)
 
@@ -293,8 +295,9 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """The documents less all but one of each class: that of the least doc_id (null last), then of the least text hash. All null texts stay."""
     every = classes(docs, doc_id=doc_id, text=text, similar=similar)
     lost = every.filter("root is not null").select("root", F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("key").alias("k")).alias("s"))
-    kept = lost.groupBy("root").agg(F.min("s").alias("s")).select(F.col("s.i").alias("__i"), F.col("s.k").alias("__k"))
-    own = docs.withColumn("__key", F.unhex(F.md5(quoted(text).cast("string").cast("binary"))))
-    same = own["__key"].eqNullSafe(kept["__k"]) & quoted(doc_id).eqNullSafe(kept["__i"])
-    stays = own.filter("__key is not null").join(kept, same, "left_semi").dropDuplicates(["__key"])
-    return stays.unionByName(own.filter("__key is null")).select(*(quoted(c) for c in docs.columns))
+    kept = lost.groupBy("root").agg(F.min("s").alias("s")).select(F.col("s.i").alias("kept_id"), F.col("s.k").alias("kept_key"))
+    row, key = F.struct(*(quoted(c) for c in docs.columns)), F.unhex(F.md5(quoted(text).cast("string").cast("binary")))  # no name of the input's can clash
+    own = docs.select(row.alias("row"), quoted(doc_id).alias("id"), key.alias("key"))
+    same = own["key"].eqNullSafe(kept["kept_key"]) & own["id"].eqNullSafe(kept["kept_id"])
+    stays = own.filter("key is not null").join(kept, same, "left_semi").dropDuplicates(["key"])
+    return stays.unionByName(own.filter("key is null")).select("row.*")

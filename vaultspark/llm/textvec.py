@@ -197,7 +197,10 @@ def map_texts(df: DataFrame, kernel: Callable[[Texts], list], fields: list[T.Str
                 rest = [batch.column(k).slice(a, b - a) for k in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*rest, *arrays], names=[*kept, *(f.name for f in arrow)])
 
-    return df.select(*(quoted(c) for c in kept), quoted(text).cast("string").alias("__text")).mapInArrow(tidy(run), schema)
+    name = "text"
+    while name in map(str.lower, kept):
+        name += "_"
+    return df.select(*(quoted(c) for c in kept), quoted(text).cast("string").alias(name)).mapInArrow(tidy(run), schema)
 
 
 def lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
