@@ -10,6 +10,7 @@ the window's words are then compared one by one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,13 +128,13 @@ def _match(texts: Texts, ix: Index, bits: np.ndarray) -> tuple[np.ndarray, np.nd
     return first, start, ix.length[window], ix.item[window]
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> list[list[tuple[str, str]]]:
-    """The items, by blocks that are small enough to be broadcast."""
+def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> tuple[int, Callable[[int], list[tuple[str, str]]]]:
+    """How many blocks the items make that are small enough to be broadcast, and the items of one: the driver holds one at a time."""
     items = benchmark.select(quoted(item).cast("string").alias("i"), quoted(text).cast("string").alias("t")).filter("i is not null and t is not null")
     size = items.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
     n = max(1, -(-2 * size // limit)) if size > limit else 1
     block = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [[(r["i"], r["t"]) for r in items.filter(block == k).distinct().collect()] for k in range(n)]
+    return n, lambda k: [(r["i"], r["t"]) for r in items.filter(block == k).distinct().collect()]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -151,9 +152,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_hit", "n_items", "item_ids", "hit_spans", "contaminated")]
     fields = T.StructType.fromDDL("n_words long, n_hit long, n_items long, item_ids array<string>, hit_spans array<long>, contaminated boolean").fields
     out = docs
-    blocks = _blocks(benchmark, item, item_text, block_bytes)
-    for k, rows in enumerate(blocks):
-        shared = docs.sparkSession.sparkContext.broadcast(build_index(docs, rows, window, text))
+    blocks, rows_of = _blocks(benchmark, item, item_text, block_bytes)
+    for k in range(blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(build_index(docs, rows_of(k), window, text))
 
         def kernel(texts: Texts, shared=shared) -> list:
             ix = shared.value
@@ -174,7 +175,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
             return [np.diff(first), n_hit, [len(x) for x in own], own, spans, n_hit > 0]
 
         if k == 0:
-            out = map_texts(out, kernel, fields, text, kept if text in kept or len(blocks) == 1 else [*kept, text])
+            out = map_texts(out, kernel, fields, text, kept if text in kept or blocks == 1 else [*kept, text])
             continue
         more = [T.StructField(f"__{f.name}", f.dataType) for f in fields]
         out = map_texts(out, kernel, more, text)
