@@ -325,3 +325,23 @@ def test_pipeline_stages_keep_the_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns, name
+
+
+def test_pipeline_stages_of_odd_rows(spark, sf):
+    """Nulls, empty and long texts, repeated rows, clashing names and an empty table in every stage."""
+    import corpus_pipeline
+
+    want = {
+        "language ID": {0, 1, 2, 6, 7, 8, 9, 10, None},
+        "line dedup": {0, 3, 4, 5, 6, 7, 8, 9, 10, None},
+        "MinHash near-dedup": {0, 3, 4, 5, 6, 7, 8, 9, 10, None},
+        "benchmark decontamination": {0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, None},
+    }
+    docs = edge(spark).withColumnRenamed("key", "__key").withColumn("lost", F.lit(1)).withColumn("row", F.lit("r"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns and stage(spark, docs.limit(0), sf).count() == 0, name
+        ids = {r["doc_id"] for r in got.select("doc_id").collect()}
+        assert ids <= want[name] if name == "language ID" else ids == want[name], name
+    packed = corpus_pipeline.pack(spark, docs, sf)
+    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == want["benchmark decontamination"] and corpus_pipeline.pack(spark, docs.limit(0), sf).count() == 0
