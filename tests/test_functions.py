@@ -214,3 +214,38 @@ def test_counts_in_windows(spark, sf, tmp_path):
     stream = ingest.documents(spark, str(tmp_path / "in"), events.schema.simpleString()[7:-1].replace(":", " "))
     ingest.counts(stream, "1 day", "1 hour").writeStream.outputMode("complete").format("memory").queryName("day_counts").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "s")).start().awaitTermination()
     assert spark.table("day_counts").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_notices_are_told_once(spark, tmp_path):
+    for k in range(2):
+        spark.sql(f"select id, cast(id % 3 as long) as ahead_count, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, {k} * 3) as at from range(12)").write.mode("append").parquet(str(tmp_path / "in"))
+    rows = ingest.documents(spark, str(tmp_path / "in"), "id long, ahead_count long, at timestamp", files=1)
+    ingest.start(ingest.notices(rows), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [i for i in range(12) if i % 3 <= 1]
+
+
+def test_the_queue_monitor_replaces_touched_days_only(spark, tmp_path):
+    from vaultspark.operators import workflow
+
+    schema = "id long, patient_id long, doctor_id long, type string, status string, time timestamp, checked_in_at string"
+    every = spark.sql("select id, id as patient_id, id % 2 as doctor_id, 'new' as type, 'checked_in' as status, timestamp'2024-01-01 08:00:00' + make_interval(0, 0, 0, cast(id % 3 as int)) as time, cast(null as string) as checked_in_at from range(30)")
+    staff = spark.sql("select id, cast(id * 5 as int) as drift from range(2)")
+    every.write.parquet(str(tmp_path / "all"))
+    for ids in ("id < 30", "id = 7"):  # all, then a change of one appointment
+        every.filter(ids).write.mode("append").parquet(str(tmp_path / "changes"))
+        changes = ingest.documents(spark, str(tmp_path / "changes"), schema)
+        ingest.queue_monitor(changes, lambda: spark.read.parquet(str(tmp_path / "all")), staff, str(tmp_path / "sink"), str(tmp_path / "state")).awaitTermination()
+    got = {(r["id"], r["position"]) for r in spark.read.parquet(str(tmp_path / "sink")).collect()}
+    assert got == {(r["id"], r["position"]) for r in workflow.queue(every, staff).collect()}
+
+
+def test_pages_and_scans_are_tried_three_times(spark):
+    from vaultspark import models
+
+    waits, calls = [], []
+
+    def call():
+        calls.append(1)
+        raise RuntimeError("no")
+
+    assert models.insistent(call, other="", sleep=waits.append) == "" and len(calls) == 3 and waits == [10, 20]
