@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.cases import LONG, edge, none
 from vaultspark.llm import catalog, decontamination, language_id, packing, quality_classifier
@@ -188,3 +189,25 @@ def test_marks_alone_are_no_letters(spark):
     docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "\u0301\u0308 \u0301", None), (3, None, None), (4, "12 !", None)], "doc_id long, text string, lang string")
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs, language_id.learn(docs)).collect()}
     assert got[1][0] == "en" and got[2] == got[3] == got[4] == ("und", 0.0)
+
+
+def test_quality_statistics_against_plain_python(spark, sf):
+    def plain(text):
+        t = (text or "").encode()
+        w, lines = re.findall(rb"[^\x20\x09-\x0D]+", t), re.findall(rb"[^\n]+", t)
+        share = lambda a, b: a / max(b, 1)
+        earlier = lambda items: len(items) - len(set(items))
+        chars, n = sum(map(len, w)), len(w)
+        mean = share(chars, n)
+        classes = [rb"[A-Z]", rb"[0-9]", rb"[#$%&*+<=>\\^_`{|}~]", rb"[!?]", rb"[,\-.:;]", rb"[\x80-\xFF]"]
+        five = [tuple(w[k : k + 5]) for k in range(max(1, n - 4))] if w else []
+        return [
+            np.log1p(n), mean, max(share(sum(len(x) ** 2 for x in w), n) - mean**2, 0) ** 0.5, *(share(len(re.findall(c, t)), chars) for c in classes),
+            share(len(set(w)), n), share(sum(a == b for a, b in zip(w, w[1:])), n), share(earlier(five), len(five)), np.log1p(share(n, len(lines))),
+            share(earlier(lines), len(lines)), share(sum(len(x) > 30 for x in w), n),
+        ]
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(edge(spark).select((F.col("doc_id") + 10**6).alias("doc_id"), "text").filter("doc_id is not null").dropDuplicates())
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in quality_classifier.measured(docs, keep=["doc_id"]).collect():
+        assert [r[f"q_{s}"] for s in quality_classifier.STATISTICS] == pytest.approx(plain(text[r["doc_id"]]), abs=1e-9), r["doc_id"]
