@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -17,8 +19,10 @@ def folder(spark: SparkSession) -> str:
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
-        base = getattr(folder, "own", None) or tempfile.mkdtemp(prefix="vaultspark-")
-        folder.own = base
+        base = getattr(folder, "own", None)
+        if not base:
+            base = folder.own = tempfile.mkdtemp(prefix="vaultspark-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/vaultspark-{uuid.uuid4().hex}"
 
 
