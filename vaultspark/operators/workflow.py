@@ -10,6 +10,7 @@ from vaultspark import models
 from vaultspark.functions.strings import filled, first_match, holds_all, lookup, rx, word_set
 from vaultspark.functions.validators import has_registration, insurance_score, national_id_valid, tax_holder_valid
 from vaultspark.operators import verdicts
+from vaultspark.session import stored
 
 
 def taken_on(status: Column) -> Column:
@@ -333,7 +334,8 @@ def mint_tokens(rows: DataFrame, taken: DataFrame, key: str = "admission_id", le
         w = Window.partitionBy("token").orderBy(key)
         made = left.withColumn("token", minted(salt)).withColumn("__n", F.row_number().over(w))
         good = made.filter("__n = 1").drop("__n").join(used, "token", "left_anti").select(key, "token")
+        good = stored(good)  # a round reads what the last one wrote and runs nothing again
         out = good if out is None else out.unionByName(good)
-        left, used, salt = left.join(out.select(key), key, "left_anti"), used.unionByName(good.select("token")), salt + 1
+        left, used, salt = stored(left.join(good.select(key), key, "left_anti")), used.unionByName(good.select("token")), salt + 1
         if left.isEmpty():
             return out

@@ -43,7 +43,10 @@ def scratch(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="vaultspark-")
+        base = getattr(scratch, "own", None)
+        if not base:
+            base = scratch.own = tempfile.mkdtemp(prefix="vaultspark-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 

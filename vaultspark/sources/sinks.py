@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id", order: list[Column] | None = None) -> DataFrame:
-    """The old rows whose key is not new, and the last of the new rows of each key."""
+    """The old rows whose key is not new, and of the new rows of each key the last by order (any one without an order)."""
     if order:
         w = Window.partitionBy(key).orderBy(*(o.desc() for o in order))
         new = new.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    else:
+        new = new.dropDuplicates([key])
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
