@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vaultspark import lexicons as L
 
@@ -99,3 +102,36 @@ def allergens(text: Column) -> Column:
 def exploded(rows: DataFrame, column: str, at: str, to: str) -> DataFrame:
     """A row per element. The outer form: for the inner one Catalyst infers a filter on the array's size and computes the array twice."""
     return rows.select("*", F.posexplode_outer(column).alias(at, to)).filter(F.col(at).isNotNull())
+
+
+def escaped(c: Column) -> Column:
+    """Safe inside HTML; null is empty."""
+    out = F.coalesce(c.cast("string"), F.lit(""))
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    return out
+
+
+def attribute(c: Column) -> Column:
+    """A JSON string literal, safe inside a quoted HTML attribute."""
+    listed = F.to_json(F.array(c))
+    return escaped(F.substring(listed, F.lit(2), F.length(listed) - 2))
+
+
+def initials(name: Column) -> Column:
+    """The first characters of the first two words that have any."""
+    return F.substring(F.array_join(F.transform(F.split(name, " "), lambda w: F.substring(w, 1, 1)), ""), 1, 2)
+
+
+def countdown(seconds: Column) -> Column:
+    """h:mm:ss, or m:ss under an hour; a fixed phrase once the time has come."""
+    whole = F.floor(seconds + 0.5)
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    h, m, sec = F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60
+    return F.when(whole <= 0, "Any moment now").when(h > 0, F.concat_ws(":", h.cast("string"), two(m), two(sec))).otherwise(F.concat_ws(":", m.cast("string"), two(sec)))
+
+
+@F.pandas_udf(T.StringType())
+def password_hash(password: pd.Series, salt: pd.Series) -> pd.Series:
+    """PBKDF2 with SHA-256 and 100,000 rounds, in hexadecimal."""
+    return pd.Series([hashlib.pbkdf2_hmac("sha256", p.encode(), x.encode(), 100_000).hex() for p, x in zip(password, salt, strict=True)], index=password.index)

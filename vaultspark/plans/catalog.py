@@ -216,6 +216,29 @@ def split_bars(s, d):
     return strings.exploded(view(s, d, "appts").select("id", strings.split_pipe(packed).alias("parts")), "parts", "at", "part").select("id", "at", "part")
 
 
+@query
+def shown_texts(s, d):
+    """What a page shows of questions: escaped, and as an attribute."""
+    return view(s, d, "asked").select("question_id", strings.escaped(F.concat(F.lit("<b>'"), "question", F.lit("'</b> & \""))).alias("shown"), strings.attribute(F.concat(F.lit('say "'), "question", F.lit("\\"))).alias("attribute"))
+
+
+@query
+def name_initials(s, d):
+    return view(s, d, "staff").select("id", strings.initials(F.concat("name", F.lit("  X"))).alias("initials"), strings.initials(F.concat(F.lit(" "), "dept")).alias("dept"))
+
+
+@query
+def countdown(s, d):
+    return view(s, d, "appts").select("id", strings.countdown((F.col("id") * 37 % 9000 - 100) / 2).alias("left"))
+
+
+@query
+def password_check(s, d):
+    salted = view(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("password"), F.md5("n_name").alias("salt")).withColumn("hash", strings.password_hash("password", "salt"))
+    given = F.when(F.col("id") % 3 == 0, F.concat("password", F.lit("x"))).otherwise(F.col("password"))
+    return salted.select("id", F.length("hash").alias("length"), (strings.password_hash(given, "salt") == F.col("hash")).alias("right"))
+
+
 @query
 def document_headers(s, d):
     return vault.headers(registered(s, d))

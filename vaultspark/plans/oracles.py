@@ -77,6 +77,8 @@ FROM (SELECT doc_id, text, list_filter(regexp_extract_all(lower(text), '[a-z0-9]
 
 _LABS = f"""{FIELDED}, pairs AS (SELECT note_id, unnest(list_transform({matches('text', L.LAB_VALUE, '', 1)}, lambda y: lower({strip('y')}))) AS name, unnest(list_transform({matches('text', L.LAB_VALUE, '', 2)}, lambda y: {strip('y')})) AS value, unnest(range(len({matches('text', L.LAB_VALUE)}))) AS pos FROM nf WHERE doc_type = 'lab_report'),
 labs AS (SELECT note_id, name, arg_max(value, pos) AS value FROM pairs WHERE length(name) > 3 AND value <> '' GROUP BY 1, 2)"""
+_ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')"
+
 ORACLE |= {
     "field_lab_values": f"{_LABS} SELECT * FROM labs",
     "lab_json_roundtrip": f"{_LABS} SELECT note_id, max(value) FILTER (name = 'haemoglobin') AS haemoglobin, count(*) AS n_values FROM labs GROUP BY 1",
@@ -402,4 +404,9 @@ SELECT image_id, ordinal, phrase, round(('0x' || md5('a/chest-xray-' || cast(ima
     "img_parameters": f"""{ctes('img_metrics')}, m AS (SELECT ({list(L.PRESETS)})[page_id % {len(L.PRESETS)} + 1] AS preset FROM img_metrics),
 v(preset, step, name, value) AS (VALUES {', '.join(f"({q(p)}, {q(t)}, {q(n) if n else 'NULL'}, {v if n else 'NULL'}::double)" for p, steps in L.PRESETS.items() for t, values in steps.items() for n, v in (values or {None: None}).items())})
 SELECT preset, step, name, value, count(*) AS n FROM m JOIN v USING (preset) GROUP BY ALL""",
+    "shown_texts": f"""{_ASKED} SELECT question_id, {_ESCAPED.format("'<b>' || chr(39) || question || chr(39) || '</b> & ' || chr(34)")} AS shown, {_ESCAPED.format("cast(to_json('say ' || chr(34) || question || chr(92)) AS varchar)")} AS attribute FROM asked""",
+    "name_initials": f"{ctes('staff')} SELECT id, 'D' || string_split(name, ' ')[2][1] AS initials, dept[1] AS dept FROM staff",
+    "countdown": f"""{ctes('appts')}, x AS (SELECT id, cast(floor((id * 37 % 9000 - 100) / 2 + 0.5) AS bigint) AS n FROM appts)
+SELECT id, CASE WHEN n <= 0 THEN 'Any moment now' WHEN n >= 3600 THEN printf('%d:%02d:%02d', n // 3600, n % 3600 // 60, n % 60) ELSE printf('%d:%02d', n // 60, n % 60) END AS "left" FROM x""",
+    "password_check": 'SELECT n_nationkey AS id, 64 AS length, n_nationkey % 3 <> 0 AS "right" FROM nation',
 }
