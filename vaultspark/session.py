@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of an Arrow batch where the session does not say: rows here are whole texts, and a batch is held on both sides of the pipe.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
 def session(name: str = "vaultspark", **conf: str) -> SparkSession:
     """A session with the settings that results depend on; others keep Spark's defaults."""
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
@@ -23,8 +27,11 @@ def session(name: str = "vaultspark", **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors' Python workers, once for each context."""
+    """Send this package to the executors' Python workers, once for each context, and bound Arrow batches."""
     context = spark.sparkContext
+    for key, value in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     if not getattr(context, "_vaultspark_shipped", False):
         root = Path(__file__).resolve().parent
         folder = Path(tempfile.mkdtemp()).resolve()  # executors fetch the file from here as they start
