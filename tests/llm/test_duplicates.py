@@ -230,6 +230,36 @@ def test_recall_of_near_passages(spark):
     assert found <= want and len(found) >= 0.9 * len(want)
 
 
+def test_no_link_of_a_group_is_lost(spark):
+    """Texts of large groups that hold edited forms of one passage, near few of each other, and a line that many others hold: rows join all that have a near passage."""
+    import pyarrow as pa
+
+    draw = random.Random(3)
+    some = lambda n: [f"w{draw.randrange(4000)}" for _ in range(n)]
+    docs, groups, line = [], [], some(24)
+    for g in range(12):
+        source, own = some(100), []
+        for copy in range(40):
+            body = list(source)
+            for at in draw.sample(range(len(body)), 2 if copy != 20 else 0):
+                body[at] = f"edit{draw.randrange(4000)}"
+            own.append(100 * g + copy)
+            docs.append((own[-1], " ".join(some(30) + body + some(30))))
+        groups.append(own)
+    docs += [(5000 + k, " ".join(some(60) + line + some(60))) for k in range(200)]
+    rows = substring_dedup.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    ids = sorted(i for i, _ in docs)
+    root = dict(zip(ids, roots(len(ids), [(ids.index(r["doc_id"]), ids.index(r["other_id"])) for r in rows]), strict=True))
+    words, first = textvec.Texts(pa.array([t for _, t in docs])).words(textvec.SPACED)
+    found, begin, _ = textvec.shingles(words, first, 5)
+    sets = {i: found[begin[k] : begin[k + 1]] for k, (i, _) in enumerate(docs)}
+    near = lambda a, b: substring_dedup.passages(sets[a], sets[b], [0, len(sets[a]) - 1, 0, len(sets[b]) - 1], 46, 0.8)
+    links = [(a, b) for g in groups for k, b in enumerate(g) for a in g[:k] if near(a, b)]
+    apart = [(a, b) for a, b in links if root[a] != root[b]]
+    assert len(links) > 5000 and not apart and max(r["doc_id"] for r in rows) < 5000
+    assert len({(r["doc_id"], r["start"], r["other_id"], r["other_start"]) for r in rows}) == len(rows)
+
+
 def test_windows_are_those_of_the_definition():
     import numpy as np
 
