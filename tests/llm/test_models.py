@@ -275,6 +275,20 @@ def test_training_takes_long_texts_in_pieces_and_all_cells(spark, monkeypatch):
     assert 0.3 * len(got) < part < 0.7 * len(got)
 
 
+def test_training_takes_all_texts(spark, monkeypatch):
+    """Every word of every training text is in a round, however many there are."""
+    docs = [(k, f"a{k} b{k % 7} c{k}") for k in range(3000)]
+    seen = []
+    monkeypatch.setattr(recurrent_lm, "_fitted", lambda model, pieces: seen.append(pieces) or model)
+    recurrent_lm.score(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") % 5 == 1)
+    want = Counter(w for i, t in docs if i % 5 != 1 for w in t.split())
+    assert Counter(w for r in seen[0].collect() for w in r["text"].split()) == want
+    for size, often in ((6000, 1), (1 << 20, recurrent_lm.EPOCHS)):
+        monkeypatch.setattr(recurrent_lm, "CELL", size)
+        _, rounds = recurrent_lm._rounds(seen[0], 60_000)
+        assert Counter(w for x in rounds for r in x.collect() for w in r["text"].split()) == Counter({w: often * n for w, n in want.items()})
+
+
 def test_class_probabilities_sum_to_one():
     m = recurrent_lm.train([np.arange(1, 60, dtype=np.uint64) << np.uint64(4)] * 3, vocabulary=30, epochs=1, lanes=2)
     known = m.ids
