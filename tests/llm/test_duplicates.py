@@ -260,6 +260,26 @@ def test_no_link_of_a_group_is_lost(spark):
     assert len({(r["doc_id"], r["start"], r["other_id"], r["other_start"]) for r in rows}) == len(rows)
 
 
+def test_classes_of_a_text_that_repeats_one_centre_take_memory_by_its_records():
+    """Two texts of 1500 places of one centre, each place told of a passage over all of the other's: joined, without a row for each two places."""
+    import tracemalloc
+
+    import numpy as np
+
+    n = 1500
+    places, full = np.arange(n, dtype=np.uint32), lambda v, kind: np.full(n, v, kind)
+    record = lambda text: [full(9, np.uint64), full(text, np.uint64), full(text, np.int64), places, places, places + 60, *np.zeros((2, n), np.uint32), full(0, np.uint8), full(0, np.uint8)]
+    told = [full(9, np.uint64), full(2, np.uint64), full(1, np.int64), full(0, np.uint32), places, full(n, np.uint32), *np.zeros((2, n), np.uint32), full(255, np.uint8), full(0, np.uint8)]
+    alone = [x[:1].copy() for x in record(3)]
+    columns = [np.concatenate(x) for x in zip(record(1), record(2), told, alone, strict=True)]
+    tracemalloc.start()
+    key, doc, *_, cls, _, joined = substring_dedup._unjoined(columns)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(key) == 2 * n + 1 and len(set(cls[doc < 3])) == 1 and len(set(cls)) == 2 and (joined == (doc == 2)).all()
+    assert peak < 8 << 20
+
+
 def test_windows_are_those_of_the_definition():
     import numpy as np
 
